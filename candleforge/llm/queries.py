@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm import simhash
+from candleforge.llm import mixing, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,39 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_QUERIES = {f.__name__: f for f in (op1_simhash_dedup,)}
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 and its place there."""
+    rows, _ = sharding.shard(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of the mix."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, from a ledger that starts empty."""
+    found = secrets.document_findings(_table(spark, sf_dir, "documents"))
+    text = secrets.span_text(F.col("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+
+
+def _op9_sql() -> str:
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{r.kind}' AS kind, {i} AS k, t, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS m,
+  regexp_extract_all(t, '{p}', {r.group}) AS g, {r.least} AS least FROM d""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), raw AS ({" UNION ALL ".join(parts)}),
+each AS (SELECT doc_id, kind, k, gaps, m, g, least, unnest(range(1, len(m) + 1)) AS i FROM raw),
+hit AS (SELECT doc_id, kind, k, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, length(m[i]) AS n FROM each WHERE length(g[i]) >= least),
+found AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, k) AS spans FROM hit GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""
+
+
+_QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op6_virtual_slots, op8_entropy_mix, op9_blob_ledger)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_blob_ledger": _op9_sql()}
