@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm import mixing, secrets, sharding, simhash
+from candleforge.llm import mixing, packing, quality, secrets, sharding, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,28 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_latent_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that earlier documents have."""
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40 and its place there."""
     rows, _ = sharding.shard(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place in a sequence of at most 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of the mix."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -38,6 +54,18 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every hundredth embedding."""
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+_OP10_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(e.v AS DOUBLE[])) AS BIGINT) AS score FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 def _op9_sql() -> str:
     parts = []
     for i, r in enumerate(secrets.RULES):
@@ -52,7 +80,7 @@ found AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) A
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""
 
 
-_QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op6_virtual_slots, op8_entropy_mix, op9_blob_ledger)}
+_QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_latent_voting, op5_countmin_substrings, op6_virtual_slots, op7_certified_packing, op8_entropy_mix, op9_blob_ledger, op10_maxscore)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_blob_ledger": _op9_sql()}
+    return {"op9_blob_ledger": _op9_sql(), "op10_maxscore": _OP10_SQL}
