@@ -10,9 +10,11 @@ per partition, is left partly empty.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ VOCABULARY = "word_bpe_49k.json"
 PARTITION_PIECES, MOST_PIECES = 1 << 16, 1 << 20
 #: Bins with at most this share of their length free are not opened again.
 NEARLY_FULL = 0.01
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a process remembers before it begins anew.
+CACHE_WORDS = 1_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,13 +44,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer whose tokens never span white space, remembered per word.
+    """Ids of texts under a lower-casing tokenizer whose tokens never span white space, remembered per word.
 
-    Words are split where Python's str.split() does. The few control characters that it alone takes for white
-    space (U+001C to U+001F) would break words that the tokenizer keeps, so texts with one are encoded whole.
+    Words are split where str.split() does, ASCII letters lowered first, and of an unknown word the closing ASCII
+    signs are encoded apart from what ends in a letter or digit, as the tokenizer splits there itself. Texts in
+    which one of these steps could matter are encoded whole: those with the control characters that only Python
+    takes for white space, with combining marks (they may compose with a lowered letter), or with the opening of a
+    special token.
     """
 
-    _ODD = "\x1c\x1d\x1e\x1f"
+    _WHOLE = re.compile("[\x1c-\x1f\u0300-\u036f]|<\\|")
+    _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,26 +66,41 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        known, signs = self.known, self._SIGNS
+        parts: dict[str, str] = {}
+        for w in words:
+            core = w.rstrip(signs)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                parts[w] = core
+        wanted = (words - parts.keys()) | set(parts.values()) | {w[len(core) :] for w, core in parts.items()}
+        new = [w for w in wanted if w not in known]
+        known.update(zip(new, self._encode(new)))
+        known.update((w, known[core] + known[w[len(core) :]]) for w, core in parts.items())
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, without an end id."""
-        whole = {i for i, t in enumerate(texts) if any(c in t for c in self._ODD)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            fresh = dict(zip(new, self._encode(new)))
-            if len(known) < CACHE_WORDS:
-                known.update(list(fresh.items())[: CACHE_WORDS - len(known)])
-            look = lambda w: known.get(w) or fresh.get(w, b"")
-        else:
-            known.update(zip(new, self._encode(new)))
-            look = known.__getitem__
-        out = [np.frombuffer(b"".join(map(look, ws)), dtype="<u4") for ws in split]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        whole = [i for i, t in enumerate(texts) if self._WHOLE.search(t)]
+        split = [t.encode().lower().decode().split() for t in texts]
+        for i in whole:
+            split[i] = []
+        unknown = set().union(*split).difference(self.known)
+        if unknown:
+            self._learn(unknown)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype="<u4") for ws in split]
         for i in whole:
             out[i] = np.frombuffer(self._encode([texts[i]])[0], dtype="<u4")
         return out
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per Python process, so that tasks that follow each other share what is known."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Token pieces of every row of docs: doc_id, piece, start, length, ids_crc32, and the ids as binary if wanted.
 
@@ -89,7 +110,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_co
     where = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(where)
+        tokenizer = word_tokenizer(where)
         end = np.array([END_ID], dtype="<u4")
         for batch in batches:
             keys, texts = batch.column("id").to_pylist(), binaries(batch.column("t"))
