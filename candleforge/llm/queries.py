@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleforge.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, topk
+from candleforge.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, suffixes, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words and more that repeat earlier ones."""
+    return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_latent_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -85,7 +90,7 @@ found AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) A
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""
 
 
-_QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_nn_descent, op4_latent_voting, op5_countmin_substrings, op6_virtual_slots, op7_certified_packing, op8_entropy_mix, op9_blob_ledger, op10_maxscore)}
+_QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_nn_descent, op3_sparse_suffixes, op4_latent_voting, op5_countmin_substrings, op6_virtual_slots, op7_certified_packing, op8_entropy_mix, op9_blob_ledger, op10_maxscore)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

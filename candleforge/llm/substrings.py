@@ -10,7 +10,7 @@ small for a table lets more windows through and loses none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ class Windows:
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
         n = int(self.begin[-1])
-        hashes = word_hashes((w for own in self.words for w in own), n)
+        self.codes = hashes = word_hashes((w for own in self.words for w in own), n)
         self._p, self._q = self._first.prefix(hashes), self._second.prefix(hashes)
         # starts of windows that stay within their text, and the text of each
         counts = np.maximum(self.sizes - window + 1, 0)
@@ -49,10 +49,10 @@ class Windows:
     def marks(self) -> np.ndarray:
         """The mark of each window: a sliding minimum over the half-window hashes, by block-wise running minima."""
         half = self.window // 2
-        n = int(self.begin[-1]) - half + 1
-        if n <= 0 or not len(self.start):
+        if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        runs = self._first.at(self._p, np.arange(n), half)
+        runs = self.runs()
+        n = len(runs)
         span = self.window - half + 1
         padded = np.full(-(-n // span) * span + span, np.iinfo(np.uint64).max, dtype=np.uint64)
         padded[:n] = runs
@@ -61,6 +61,11 @@ class Windows:
         right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         return np.minimum(right[self.start], left[self.start + span - 1])
 
+    def runs(self) -> np.ndarray:
+        """The hash of each half-window, those across two texts included."""
+        half = self.window // 2
+        return self._first.at(self._p, np.arange(max(0, int(self.begin[-1]) - half + 1)), half)
+
     def hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit hashes of some windows."""
         s = self.start[which]
@@ -71,7 +76,7 @@ def _cells(marks: np.ndarray, cells: int) -> list[np.ndarray]:
     return [(marks * factor) >> np.uint64(64 - cells) for factor in _ROWS]
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
 
 
@@ -93,8 +98,18 @@ def _merge(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "slice int, part int, cells binary")
 
 
-def sketch(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps: cells that marks of two or more documents fall into."""
+def marks_once(w: Windows) -> np.ndarray:
+    """The marks of each text, each once per text."""
+    marks = w.marks()
+    if not len(marks):
+        return marks
+    order = np.lexsort((marks, w.text))
+    m, d = marks[order], w.text[order]
+    return m[np.r_[True, (m[1:] != m[:-1]) | (d[1:] != d[:-1])]]
+
+
+def sketch(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", items: Callable[[Windows], np.ndarray] = marks_once) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps: cells that two or more items fall into; items are the marks of documents, unless given."""
     per_row = 1 << (cells - _SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +117,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: st
         for batch in batches:
             texts = binaries(batch.column("t"))
             for a, b in chunks(texts):
-                w = Windows(texts[a:b], window)
-                marks = w.marks()
-                if not len(marks):
-                    continue
-                order = np.lexsort((marks, w.text))
-                m, d = marks[order], w.text[order]
-                once = np.r_[True, (m[1:] != m[:-1]) | (d[1:] != d[:-1])]
-                for row, cell in zip(counts, _cells(m[once], cells)):
+                for row, cell in zip(counts, _cells(items(Windows(texts[a:b], window)), cells)):
                     hit, n = np.unique(cell, return_counts=True)
                     row[hit] = np.minimum(row[hit] + np.minimum(n, 2).astype(np.uint8), 2)
         part = TaskContext.get().partitionId() % 32
@@ -121,7 +129,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: st
                     raw = ((cell << np.uint32(2)) | own[cell]).astype("<u4").tobytes()
                     yield pa.RecordBatch.from_pydict({"slice": pa.array([r * per_row + s], pa.int32()), "part": pa.array([part], pa.int32()), "cells": [raw]})
 
-    parts = _source(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, "slice int, part int, cells binary")
+    parts = id_and_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, "slice int, part int, cells binary")
     first = _merge(parts.repartition("slice", "part"))
     merged = _merge(first.repartition("slice"))
 
@@ -143,8 +151,8 @@ def sketch(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: st
     return out[0], out[1]
 
 
-def _repeats(bitmaps: tuple[np.ndarray, np.ndarray], marks: np.ndarray, cells: int) -> np.ndarray:
-    """Whether each mark is estimated to occur in two or more documents."""
+def repeats(bitmaps: tuple[np.ndarray, np.ndarray], marks: np.ndarray, cells: int) -> np.ndarray:
+    """Whether each mark is estimated to be counted twice or more."""
     ok = np.ones(len(marks), dtype=bool)
     for bits, cell in zip(bitmaps, _cells(marks, cells)):
         ok &= (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -161,7 +169,7 @@ def candidate_windows(docs: DataFrame, bitmaps: Broadcast, window: int = WINDOW,
             for a, b in chunks(texts):
                 w = Windows(texts[a:b], window)
                 marks = w.marks()
-                which = np.flatnonzero(_repeats(bits, marks, cells)) if len(marks) else np.zeros(0, dtype=np.int64)
+                which = np.flatnonzero(repeats(bits, marks, cells)) if len(marks) else np.zeros(0, dtype=np.int64)
                 if not len(which):
                     continue
                 h1, h2 = w.hashes(which)
@@ -171,7 +179,7 @@ def candidate_windows(docs: DataFrame, bitmaps: Broadcast, window: int = WINDOW,
                 once = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (d[1:] != d[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(h1[once].view(np.int64)), pa.array(h2[once].view(np.int64)), pa.array(ids[a:b][d[once]].astype(np.int64))], names=["h1", "h2", "id"])
 
-    return _source(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, "h1 long, h2 long, id long")
+    return id_and_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, "h1 long, h2 long, id long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id
     owners = checkpointed(owners.where(F.col("first") < F.col("last")).select("h1", "h2", "first"))
     repeated = windows.join(owners, ["h1", "h2"]).where(F.col("id") > F.col("first"))
     lists = repeated.groupBy("id").agg(F.collect_list("h1").alias("gone"))  # at most the windows of one document
-    rows = _source(docs, id_col, text_col).join(lists, "id", "left")
+    rows = id_and_text(docs, id_col, text_col).join(lists, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
