@@ -33,11 +33,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, lot): lot is a fixed pseudo-random number of the id, 0 to 2^32."""
+def _size_columns(id_col: str, text_col: str, source_col: str) -> list[Column]:
     key = F.col(id_col).cast("long")
     lot = F.shiftrightunsigned(F.xxhash64(key, F.lit("lot")), 32)
-    return docs.select(key.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), lot.alias("lot"))
+    return [key.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), lot.alias("lot")]
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, lot): lot is a fixed pseudo-random number of the id, 0 to 2^32."""
+    return docs.select(*_size_columns(id_col, text_col, source_col))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -71,6 +75,19 @@ def _rate(lam: Column, z: Column, most: float) -> Column:
     return F.round(F.least(F.lit(most), F.exp(F.least(lam * z, F.lit(50.0)))) * _ONE).cast("long")
 
 
+def _tilt() -> Column:
+    """z of a row with size, source_size and n_docs."""
+    return F.col("size") / (F.col("size") + F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0)))
+
+
+def _rated(rows: DataFrame, most: float) -> DataFrame:
+    """Adds r, the fixed-point rate; whole, its whole part; at, the threshold above which a row gets one copy more."""
+    rate = F.when(F.col("full"), F.lit(int(most * _ONE)).cast("long")).otherwise(_rate(F.col("lam"), _tilt(), most))
+    fraction = (F.col("r") % _ONE) * (_FINE // _ONE)
+    at = F.when(F.col("r") % _ONE > 0, F.col("lot") - fraction + _FINE)
+    return rows.withColumn("r", rate).withColumns({"whole": F.floor(F.col("r") / _ONE).cast("long"), "at": at})
+
+
 def _with(docs: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     return docs.join(F.broadcast(state) if small else state, "sid")
 
@@ -79,20 +96,14 @@ def _total(c: Column) -> Column:
     return F.sum(c.cast("decimal(38,0)"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate double, copies int, taken long) of every row of docs.
-
-    taken = copies * size, never above most * size. Null text has size 0; a null source is a source of its own,
-    the last; null ids share one lot; repeated rows take part each, with equal lots; documents of size 0 change no
-    sum and get a copy for a rate of 1. An empty table gives an empty result.
-    """
-    sizes = checkpointed(sized(docs, id_col, text_col, source_col))
+def solved(sizes: DataFrame, most: float = MOST) -> tuple[DataFrame, bool]:
+    """(plan, whether it is small) for sizes (source, size, lot): per source its target, the dual's solution `lam`, whether
+    all rates are full, and the threshold `low` below which a row's `at` gives it one copy more."""
     sources = checkpointed(targets(sizes, most=most))
     small = sources.count() <= BROADCAST_SOURCES
     names = sources.select("sid", F.col("source").alias("_s"), "source_size", "n_docs")
     base = sizes.join(F.broadcast(names) if small else names, F.col("source").eqNullSafe(F.col("_s")))
-    mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
-    base = checkpointed(base.select("doc_id", "sid", "size", "lot", (F.col("size") / (F.col("size") + mean)).alias("z")))
+    base = checkpointed(base.select("sid", "size", "lot", _tilt().alias("z")))
 
     # the dual, one dimension per source; a target at the cap is met by full rates
     full = F.col("target") >= F.col("source_size") * F.lit(most)
@@ -113,12 +124,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if not state.where(~F.col("done") & ~F.col("full")).limit(1).count():
             break
 
-    # copies: whole part of the rate, and one more where the lot is below the fraction shifted by the source's threshold
-    rate = F.when(F.col("full"), F.lit(int(most * _ONE)).cast("long")).otherwise(_rate(F.col("lam"), F.col("z"), most))
-    rated = _with(base, state.select("sid", "source", "source_size", "target", "lam", "full"), small).withColumn("r", rate)
-    fraction = (F.col("r") % _ONE) * (_FINE // _ONE)
-    rated = rated.withColumns({"whole": F.floor(F.col("r") / _ONE).cast("long"), "at": F.when(F.col("r") % _ONE > 0, F.col("lot") - fraction + _FINE)})
-    rated = checkpointed(rated.select("doc_id", "sid", "source", "size", "source_size", "target", "r", "whole", "at"))
+    # copies: the whole part of the rate, and one more where the lot falls below the fraction, shifted per source
+    rated = _rated(_with(base.drop("z"), state.select("sid", "source_size", "n_docs", "target", "lam", "full"), small), most)
+    rated = checkpointed(rated.select("sid", "size", "target", "whole", "at"))
     need = rated.groupBy("sid").agg((F.first("target") - _total(F.col("size") * F.col("whole")).cast("double")).alias("need"))
     edge = checkpointed(need.withColumn("low", F.lit(0).cast("long")))
     width = 2 * _FINE
@@ -127,15 +135,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         near = _with(rated.where(F.col("at").isNotNull() & (F.col("size") > 0)).select("sid", "size", "at"), edge.select("sid", "low"), small)
         step = F.floor((F.col("at") - F.col("low")) / width).cast("long")
         bins = near.withColumn("bin", step).where((F.col("bin") >= 0) & (F.col("bin") < _BINS)).groupBy("sid", "bin").agg(F.sum("size").alias("words"))
-        running = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("sid").orderBy("bin")))
-        fits = running.join(F.broadcast(edge) if small else edge, "sid").where(F.col("upto") <= F.col("need"))
-        passed = fits.groupBy("sid").agg(F.max("bin").alias("last"), F.max("upto").alias("used"))
-        nxt = bins.groupBy("sid").agg(F.max("bin").alias("top"))
-        moved = edge.join(passed, "sid", "left").join(nxt, "sid", "left")
-        over = running.join(F.broadcast(edge) if small else edge, "sid").where(F.col("upto") > F.col("need")).groupBy("sid").agg(F.min("bin").alias("next"))
+        running = checkpointed(_with(bins.withColumn("upto", F.sum("words").over(Window.partitionBy("sid").orderBy("bin"))), edge, small))
+        fits = running.where(F.col("upto") <= F.col("need")).groupBy("sid").agg(F.max("upto").alias("used"))
+        over = running.where(F.col("upto") > F.col("need")).groupBy("sid").agg(F.min("bin").alias("next"))
         # the threshold lies in the first bin that no longer fits, or beyond all
-        moved = moved.join(over, "sid", "left").withColumn("go", F.coalesce(F.col("next"), F.lit(_BINS)))
-        edge = checkpointed(moved.select("sid", (F.col("need") - F.coalesce("used", F.lit(0))).alias("need"), (F.col("low") + F.col("go") * width).alias("low")))
-    chosen = _with(rated, edge.select("sid", "low"), small)
-    copies = F.col("whole") + F.when(F.col("at") < F.col("low"), 1).otherwise(0)
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("r") / _ONE).alias("rate"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+        moved = edge.join(fits, "sid", "left").join(over, "sid", "left")
+        go = F.coalesce(F.col("next"), F.lit(_BINS))
+        edge = checkpointed(moved.select("sid", (F.col("need") - F.coalesce("used", F.lit(0))).alias("need"), (F.col("low") + go * width).alias("low")))
+    return checkpointed(state.join(edge.select("sid", "low"), "sid").select("source", "source_size", "n_docs", "target", "lam", "full", "low")), small
+
+
+def _copied(rows: DataFrame, plan: DataFrame, small: bool, most: float) -> DataFrame:
+    """rows (source, size, lot, ...) with their source's facts, r and copies."""
+    facts = plan.withColumnRenamed("source", "_s")
+    joined = rows.join(F.broadcast(facts) if small else facts, F.col("source").eqNullSafe(F.col("_s")))
+    more = F.when(F.col("at") < F.col("low"), 1).otherwise(0)
+    return _rated(joined, most).withColumn("copies", (F.col("whole") + more).cast("int"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate double, copies int, taken long) of every row of docs.
+
+    taken = copies * size, never above most * size. Null text has size 0; a null source is a source of its own,
+    the last; null ids share one lot; repeated rows take part each, with equal lots; documents of size 0 change no
+    sum and get a copy for a rate of 1. An empty table gives an empty result; other columns are not read.
+    """
+    sizes = checkpointed(sized(docs, id_col, text_col, source_col))
+    out = _copied(sizes, *solved(sizes, most), most)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("r") / _ONE).alias("rate"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies, all columns kept. Rows are not shuffled."""
+    plan, small = solved(checkpointed(sized(docs, id_col, text_col, source_col)), most)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), *_size_columns(id_col, text_col, source_col))
+    out = _copied(own, plan, small, most).where(F.col("copies") > 0)
+    return out.select(F.explode(F.array_repeat(F.lit(0), F.col("copies"))), "_row").select("_row.*")

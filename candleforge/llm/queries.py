@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ found AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) A
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found USING (doc_id)"""
 
 
-_QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_nn_descent, op3_sparse_suffixes, op4_latent_voting, op5_countmin_substrings, op6_virtual_slots, op7_certified_packing, op8_entropy_mix, op9_blob_ledger, op10_maxscore)}
+_QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simhash_dedup, op2_nn_descent, op3_sparse_suffixes, op4_latent_voting, op5_countmin_substrings, op6_virtual_slots, op7_certified_packing, op8_entropy_mix, op9_blob_ledger, op10_maxscore)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
