@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text processed at once inside a task, so that memory does not follow the Arrow batch size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 

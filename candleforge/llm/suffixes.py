@@ -29,7 +29,7 @@ from candleforge.llm.common import binaries, checkpointed, chunks, mix
 from candleforge.llm.substrings import CELLS, WINDOW, Windows, id_and_text, repeats, sketch
 
 #: Contexts of one seed that are compared in memory, and suffixes that are compared together.
-GROUP, TOGETHER = 1 << 16, 1 << 17
+GROUP, TOGETHER = 1 << 15, 1 << 15
 
 _ROW = "seed long, right binary, left binary, id long, pos int"
 _FOUND = "id long, lo int, hi int, h1 long, h2 long"
