@@ -18,8 +18,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Links to itself, repeats and either direction are fine; nodes without links are absent; no links give an
     empty result. Every round works on whole edges with aggregates and joins: the least neighbour of a node is a
-    map-side combined minimum, so a node with very many links gathers nothing in one task, and its rows in the
-    join back can be split. Each round is checkpointed, so lost executors cost at most one round.
+    map-side combined minimum, so a node with very many links gathers nothing in one task. Minima are checkpointed
+    before they are joined back: both sides of the join are then shuffled for it alone, so that adaptive execution
+    may split the rows of such a node. Lost executors cost at most a part of a round.
     """
     edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = checkpointed(edges)
@@ -27,10 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     while mark[0]:
         # large star: the greater neighbours of x link to the least node around x
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: the lesser neighbours of x, and x, link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _mark(edges)

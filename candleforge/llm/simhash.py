@@ -237,7 +237,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes, bits)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
