@@ -257,7 +257,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if got >= recall * true:
             break
     named = nodes.join(found, "cid", "left").select("u", "m", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.col("m") - 1).alias("links"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("u", "links", "component")
+    least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component")))
+    named = named.join(least, "root").select("u", "links", "component")
     linked = source.where(F.col("u").isNotNull()).join(named, "u").select("id", "links", "component")
     alone = source.where(F.col("u").isNull()).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     out = linked.unionByName(alone)
