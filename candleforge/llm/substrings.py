@@ -305,11 +305,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id
     late = stretches.join(owners, ["mark", "content"]).where(F.col("id") > F.col("first"))
     # marks with several contents, in several documents: the first document of each content is judged by windows
     mixed = owners.groupBy("mark").agg(F.count("*").alias("n"), F.min("first").alias("lo"), F.max("last").alias("hi")).where((F.col("n") > 1) & (F.col("lo") < F.col("hi")))
-    judged = owners.join(mixed.select("mark"), "mark").select("mark", "content", F.col("first").alias("id"))
+    judged = owners.join(checkpointed(mixed.select("mark")), "mark").select("mark", "content", F.col("first").alias("id"))
     places = spark.sparkContext.broadcast(membership(_keyed(judged).select(F.col("place").alias("key")), cells))
     windows = checkpointed(_windows_of(docs, places, window, cells, id_col, text_col))
     starts = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    again = windows.join(starts.where(F.col("first") < F.col("last")), ["h1", "h2"]).where(F.col("id") > F.col("first"))
+    starts = checkpointed(starts.where(F.col("first") < F.col("last")))
+    again = windows.join(starts, ["h1", "h2"]).where(F.col("id") > F.col("first"))
     gone = _keyed(late.select("mark", "content", "id")).select("id", F.col("key").alias("stretch"), F.lit(None).cast("long").alias("h1"))
     gone = gone.unionByName(again.select("id", F.lit(None).cast("long").alias("stretch"), "h1"))
     lists = gone.groupBy("id").agg(F.collect_list("stretch").alias("stretches"), F.collect_list("h1").alias("gone"))  # at most the windows of one document
