@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candleforge.llm.common import checkpointed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -33,6 +35,9 @@ HEX = Rule("hex", r"[0-9a-f]+", 0, 24)
 RULES = (ASSIGN, ACCESS, HEX)
 RULE_VERSION = "base-1"
 
+#: Findings are broadcast up to this size, reckoned as so much for each blob and each span.
+BROADCAST_BYTES, BLOB_BYTES, SPAN_BYTES = 16 << 20, 160, 32
+
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, spans array<struct<start:long,kind:int,end:long>>"
 
 
@@ -112,7 +117,7 @@ def document_findings(docs: DataFrame, ledger: DataFrame | None = None, id_col:
     """
     paths = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found, _ = scan(paths, ledger)
-    joined = paths.select("doc_id", blob_of(F.col("text")).alias("blob")).join(found.drop("rule_version"), "blob", "left")
+    joined = _matched(paths.select("doc_id", blob_of(F.col("text")).alias("blob")), found.drop("rule_version"), "blob")
     return joined.select("doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in RULES], "spans")
 
 
@@ -124,7 +129,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     found, _ = scan(docs.select(F.col(text_col).alias("text")))
     spans = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     text = F.col(text_col)
-    joined = docs.withColumn("_blob", blob_of(text)).join(spans, "_blob", "left")
+    joined = _matched(docs.withColumn("_blob", blob_of(text)), spans, "_blob")
 
     def step(acc: Column, s: Column) -> Column:
         # a span that begins inside the last one only moves its end
@@ -139,6 +144,15 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     return out.select(*docs.columns)
 
 
+def _matched(left: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """left with the findings of its blobs. Findings are written first; where they are few they are broadcast, so that
+    neither texts nor the copies of one blob are shuffled, else both sides are shuffled for the join alone, which
+    lets adaptive execution split a blob that very many rows share."""
+    found = checkpointed(findings)
+    size = found.agg(F.sum(F.lit(BLOB_BYTES) + F.size(found.columns[-1]) * SPAN_BYTES).alias("n")).first().n or 0
+    return left.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, key, "left")
+
+
 class BlobLedger:
     """The ledger as an append-only Parquet table in a shared folder."""
 
