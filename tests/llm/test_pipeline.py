@@ -43,7 +43,7 @@ def test_quality_stage(spark, stages):
 
 
 def test_duplicate_stage(stages):
-    want = sorted({c for _, _, c in slow_groups(pairs(stages[1]))})
+    want = sorted({c for _, _, c in slow_groups(pairs(stages[1]), shingle=5)})
     assert sorted(r.doc_id for r in stages[2].collect()) == want
 
 

@@ -21,8 +21,8 @@ def slow_fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_groups(rows, bits=4):
-    fps = [slow_fingerprint(t) for _, t in rows]
+def slow_groups(rows, bits=4, shingle=4):
+    fps = [slow_fingerprint(t, shingle) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
