@@ -14,6 +14,13 @@ key. With at most 4 errors over 4 segments, pigeonhole leaves two cases:
 A fingerprint thus makes 9 probe and about 70 index rows, keys being 24 or 28 bits wide. Rows meet per key,
 every met pair is verified by its true distance, and a key gives on only a spanning forest of its verified
 links, never all pairs. A key with many probes is split into blocks; each index row goes to every block.
+
+Four bits of 64 are far less than what copies of similarity 0.8 differ in. For those, `similar_groups` takes wide
+fingerprints: 256 bits of the distinct five-word shingles, whose share of differing bits estimates the similarity
+with a standard error of about 0.03. A key names the decoding of one segment and a codeword near the next one, so
+each of the 16 segment pairs makes one probe and one to six index rows. Pigeonhole can't cover that many errors: a
+pair shares a key with odds of 0.85 at similarity 0.8, 0.93 at 0.85, 0.98 at 0.9 and 0.999 at 0.95 (the tests
+measure them), and with the estimate's error it is linked with odds of 0.45, 0.80, 0.97 and 0.999.
 """
 
 from __future__ import annotations
@@ -28,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, forest
+from candleforge.llm.common import binaries, checkpointed, forest, mix
 from candleforge.llm.components import components
 
 SHINGLE = 4
 MAX_BITS = 4
+#: Words of a wide fingerprint, 64 bits each, and their columns.
+WIDE = ("a", "b", "c", "d")
 #: Probes of one key that are held in memory together; keys with more are split into blocks.
 BLOCK = 2048
 #: Split keys that are broadcast; more are joined.
@@ -65,24 +74,57 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
     return index[:, 0].copy(), index
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority of the XXH64 bits (seed 42) of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; of the whole sequence if it has fewer words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     h, n = xxhash.xxh64_intdigest, len(words)
     joined = b" ".join(words)
     if n < shingle:
-        return h(joined, 42)
+        return np.array([h(joined, 42)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[: n - shingle])).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(starts), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[part], stops[part])], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts)).view("<u8")[0])
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, stops)), dtype="<u8", count=len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows of hashes (n by words), as words."""
+    n, words = hashes.shape
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, n, 1 << 14):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 14)], dtype="<u8")
+        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n).view("<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority of the XXH64 bits (seed 42) of the word shingles, repeats included; 0 without words."""
+    return int(majority(shingle_hashes(text, shingle)[:, None])[0])
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """Four words: majority of 256 bits derived from the hash of every distinct word shingle; zeros without words."""
+    own = np.unique(shingle_hashes(text, shingle))
+    return majority(np.stack([mix(own + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) for i in range(len(WIDE))], axis=1))
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which two equally large shingle sets pass for that similar (Jaccard)."""
+    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * len(WIDE))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, a, b, c, d long) of every row; null text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(t, shingle) for t in binaries(batch.column("t"))], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c) for c in fps.T)], names=["id", *WIDE])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return source.mapInArrow(run, "id long, a long, b long, c long, d long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -120,21 +162,76 @@ def keys_of(fps: np.ndarray, sides: tuple[int, ...] = (0, 1)) -> tuple[np.ndarra
     return np.concatenate(keys), np.concatenate(own)
 
 
-def _key_rows(distinct: DataFrame, sides: tuple[int, ...]) -> DataFrame:
+def wide_keys_of(fps: np.ndarray, sides: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """The same of wide fingerprints (n by words): a bucket is the decoding of one segment and a codeword of the next."""
+    decoding, within = golay()
+    seg = [((fps[:, w].view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for w in range(fps.shape[1]) for i in range(4)]
+    keys, own = [], []
+    for side in sides:
+        for i, word in enumerate(seg):
+            following = seg[(i + 1) % len(seg)]
+            options = decoding[following][:, None] if side == 0 else within[following]
+            row, col = np.nonzero(options >= 0)
+            keys.append((((np.int64(i) << 12 | decoding[word][row]) << 12 | options[row, col]) << 1) | side)
+            own.append(row)
+    return np.concatenate(keys), fps[np.concatenate(own)]
+
+
+def _matrix(batch: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+
+
+def _key_rows(distinct: DataFrame, sides: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            fps = _matrix(batch, columns)
             for at in range(0, len(fps), 4096):
-                k, f = keys_of(fps[at : at + 4096], sides)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f)], names=["k", "fp"])
+                part = fps[at : at + 4096]
+                k, f = wide_keys_of(part, sides) if len(columns) > 1 else keys_of(part[:, 0], sides)
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c) for c in f.reshape(len(k), -1).T)], names=["k", *columns])
+
+    return distinct.select(*columns).mapInArrow(run, "k long, " + ", ".join(f"{c} long" for c in columns))
+
+
+def labels(fps: np.ndarray) -> np.ndarray:
+    """One long per fingerprint (n by words): the word itself, or a hash of several."""
+    out = fps[:, 0].view(np.uint64)
+    for i in range(1, fps.shape[1]):
+        out = mix(out) + fps[:, i].view(np.uint64)
+    return (out if fps.shape[1] == 1 else mix(out)).view(np.int64)
 
-    return distinct.select("fp").mapInArrow(run, "k long, fp long")
+
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((left ^ right).view(np.uint64)).sum(-1, dtype=np.int64)
 
 
 def _verified(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    d = np.bitwise_count(left.view(np.uint64) ^ right.view(np.uint64))
+    d = _apart(left, right)
     ok = (d > 0) & (d <= bits)
-    return left[ok], right[ok]
+    return labels(np.ascontiguousarray(left[ok])), labels(np.ascontiguousarray(right[ok]))
+
+
+def _searched(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links in fp by breadth-first search: what is reached is compared no more, so a dense
+    group costs little more than one pass."""
+    name = labels(fp)
+    rest = np.arange(len(fp))
+    us, vs = [], []
+    while len(rest):
+        waiting, rest = [rest[0]], rest[1:]
+        while waiting and len(rest):
+            i = waiting.pop()
+            d = _apart(fp[i], fp[rest])
+            near = d <= bits
+            if near.any():
+                new = rest[near]
+                linked = new[d[near] > 0]
+                us.append(np.full(len(linked), name[i]))
+                vs.append(name[linked])
+                waiting.extend(new.tolist())
+                rest = rest[~near]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
 def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,21 +243,14 @@ def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most:
     wanted = probes * index > 1  # a fingerprint always meets itself
     edge, probes, index = edge[wanted], probes[wanted], index[wanted]
     pairs = probes * index
+    most //= fp.shape[1]
     done = 0
     while done < len(edge):
         upto = max(done + 1, int(np.searchsorted(np.cumsum(pairs[done:]), most, side="right")) + done)
         s, p, q, n = edge[done:upto], probes[done:upto], index[done:upto], pairs[done:upto]
         done = upto
         if len(s) == 1 and n[0] > most:
-            right = fp[s[0] + p[0] : s[0] + p[0] + q[0]]
-            found, held = [], 0
-            for i in range(s[0], s[0] + p[0]):
-                found.append(_verified(np.broadcast_to(fp[i], right.shape).copy(), right, bits))
-                held += len(found[-1][0])
-                if held > most:  # a dense group: go on with what spans it
-                    found = [forest(*(np.concatenate(x) for x in zip(*found)))]
-                    held = 0
-            yield forest(*(np.concatenate(x) for x in zip(*found)))
+            yield forest(*_searched(np.unique(fp[s[0] : s[0] + p[0] + q[0]], axis=0), bits))
             continue
         off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(q, n)
@@ -170,38 +260,40 @@ def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most:
         yield forest(*_verified(left, right, bits))
 
 
-def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(u, v) links that connect exactly what all links of at most `bits` differing bits connect.
+def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(u, v) links, by `labels`, of fingerprints that differ in at most `bits` bits.
 
-    distinct: one row per fingerprint (fp long). bits may be 0 to 4.
+    distinct: one row per fingerprint. One column of 64 bits: bits may be 0 to 4, and the links connect exactly what
+    all such links connect. The columns WIDE: any bits; links of fingerprints that share a key.
     """
-    if not 0 <= bits <= MAX_BITS:
+    if len(columns) == 1 and not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
     bucket = F.shiftright("k", 1)
-    hot = _key_rows(distinct, (0,)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = _key_rows(distinct, (0,), columns).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = checkpointed(hot.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = _key_rows(distinct, (0, 1))
+    rows = _key_rows(distinct, (0, 1), columns)
     n_hot = hot.count()
     if n_hot:
         side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
         split = rows.withColumn("bucket", bucket).join(side, "bucket", "left")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        mine = F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        mine = F.array(F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int"))
         part = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("k") % 2 == 0, mine).otherwise(every)
-        rows = split.select("k", "fp", F.explode(part).alias("block"))
+        rows = split.select("k", *columns, F.explode(part).alias("block"))
     else:
         rows = rows.withColumn("block", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.zeros(0, dtype=np.int64)
         blk = np.zeros(0, dtype=np.int64)
-        fp = np.zeros(0, dtype=np.int64)
+        fp = np.zeros((0, len(columns)), dtype=np.int64)
 
         def out(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
 
         for batch in batches:
-            key, blk, fp = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in ((key, "k"), (blk, "block"), (fp, "fp")))
+            key, blk = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in ((key, "k"), (blk, "block")))
+            fp = np.concatenate([fp, _matrix(batch, columns)])
             if not len(key):
                 continue
             change = np.flatnonzero((key[1:] >> 1 != key[:-1] >> 1) | (blk[1:] != blk[:-1]))
@@ -233,21 +325,40 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id). Repeated rows are repeated in the result. An empty table gives an empty result. Other columns
     of docs are not read.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(classes, bits)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), bits)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, a, b, c, d long, component_id) of every row of docs, by wide fingerprints.
+
+    Links join fingerprints in at most `most_bits(similarity)` differing bits that share a key; the similarity is the
+    Jaccard similarity of the sets of lower-cased word shingles, as the differing bits estimate it. Cases are handled
+    as by simhash_groups.
+    """
+    return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, most_bits(similarity))
+
+
+def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels(_matrix(batch, columns)))], names=[*batch.schema.names, "label"])
+
+    fps = checkpointed(fingerprinted)
+    schema = ", ".join(f"{c} long" for c in (*columns, "least"))
+    classes = checkpointed(fps.groupBy(*columns).agg(F.min("id").alias("least")).mapInArrow(run, f"{schema}, label long"))
+    roots = components(links(classes, bits, columns=columns)).select(F.col("node").alias("label"), "root")
+    rooted = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
     least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    named = checkpointed(rooted.join(least, "root").select(*columns, "component_id"))
+    return fps.join(named, list(columns)).select(F.col("id").alias("doc_id"), *columns, "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """docs with one document of each group, the one with the least id, all columns kept.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of similar_groups, the one with the least id, all columns kept.
 
     Of repeated rows of that id one stays; rows with a null id can't be named as copies and stay.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, bits)
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
     named = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -9,7 +9,7 @@ import pytest
 from candleforge.llm import mixing, quality
 from test_native_operators import slow_spans, slow_targets
 from test_python_operators import check_packing
-from test_simhash import slow_groups
+from test_simhash import slow_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_quality_stage(spark, stages):
 
 
 def test_duplicate_stage(stages):
-    want = sorted({c for _, _, c in slow_groups(pairs(stages[1]), shingle=5)})
+    want = sorted({c for _, _, c in slow_similar(pairs(stages[1]))})
     assert sorted(r.doc_id for r in stages[2].collect()) == want
 
 

@@ -21,8 +21,49 @@ def slow_fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def slow_wide(text):
+    """256 bits: the majority over distinct five-word shingles, derived from the hashes by plain integers."""
+    import re
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor % 2**64
+        return x ^ x >> 33
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    hashes = {xxhash.xxh64(" ".join(words[i : i + 5]).encode(), 42).intdigest() for i in range(max(1, len(words) - 4))}
+    out = 0
+    for w in range(4):
+        own = [mixed((h + 0x9E3779B97F4A7C15 * (w + 1)) % 2**64) for h in hashes]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) << 64 * w
+    return out
+
+
+def slow_linked(x, y):
+    """Wide fingerprints in at most 38 different bits, with one segment decoded alike and the next one nearly."""
+    if bin(x ^ y).count("1") > 38:
+        return False
+    decoding, within = simhash.golay()
+    own, other = ([f >> 16 * i & 0xFFFF for i in range(16)] for f in (x, y))
+    for i in range(16):
+        j = (i + 1) % 16
+        if decoding[own[i]] == decoding[other[i]] and (decoding[own[j]] in within[other[j]] or decoding[other[j]] in within[own[j]]):
+            return True
+    return False
+
+
+def slow_similar(rows):
+    return grouped(rows, [slow_wide(t) for _, t in rows], lambda x, y: x == y or slow_linked(x, y))
+
+
 def slow_groups(rows, bits=4, shingle=4):
-    fps = [slow_fingerprint(t, shingle) for _, t in rows]
+    return grouped(rows, [slow_fingerprint(t, shingle) for _, t in rows], lambda x, y: bin(x ^ y).count("1") <= bits)
+
+
+def grouped(rows, fps, linked):
     parent = list(range(len(rows)))
 
     def find(i):
@@ -33,7 +74,7 @@ def slow_groups(rows, bits=4, shingle=4):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= bits:
+            if linked(fps[i], fps[j]):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -116,6 +157,84 @@ def test_drop_near_copies_keeps_the_least(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 3), (False, 9), (True, None)]
 
 
+def random_pairs(similarity, n=20_000, seed=8):
+    """Wide fingerprints whose bits differ with the odds of two sets of that similarity."""
+    rng = np.random.default_rng(seed)
+    odds = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    x = rng.integers(-(2**63), 2**63 - 1, (n, 4), dtype=np.int64)
+    flips = np.packbits(rng.random((n, 256)) < odds, axis=1).view(np.int64)
+    return x, x ^ flips
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.84), (0.85, 0.92), (0.9, 0.975), (0.95, 0.998)])
+def test_copies_share_a_wide_key(similarity, least):
+    x, y = random_pairs(similarity)
+    met = np.zeros(len(x), dtype=bool)
+    for one, other in ((x, y), (y, x)):
+        probe, _ = simhash.wide_keys_of(one, (0,))
+        index, _ = simhash.wide_keys_of(other, (1,))
+        decoded = {(int(k), i) for k, i in zip(probe, np.tile(np.arange(len(x)), 16))}
+        _, within = simhash.golay()
+        seg = [((other[:, w].view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for w in range(4) for i in range(4)]
+        rows = np.concatenate([np.nonzero(within[seg[(i + 1) % 16]] >= 0)[0] for i in range(16)])
+        assert len(rows) == len(index)
+        met[[i for k, i in zip(index - 1, rows.tolist()) if (int(k), i) in decoded]] = True
+    assert met.mean() >= least
+
+
+def test_most_bits_follows_the_similarity():
+    assert [simhash.most_bits(s) for s in (1.0, 0.9, 0.8)] == [0, 26, 38]
+
+
+@pytest.mark.parametrize("text", ["", " \n", "One", "a b c d", "A b C d é", "a b c d e f g " * 90, " ".join(map(str, range(20_000)))])
+def test_wide_fingerprint(text):
+    got = simhash.wide_fingerprint(text.encode(), 5)
+    assert sum(int(x) << 64 * i for i, x in enumerate(got)) == slow_wide(text)
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rows = [(i * 3 - 50, t) for i, t in enumerate(texts(260, 6))] + [(None, "a b c d e"), (2000, None), (2001, ""), (7000, "a b c d e"), (7000, "A b c d e"), (None, "only here once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"a": F.lit(1), "label": F.lit("x"), "component_id": F.lit(0)})
+    found = simhash.similar_groups(df).collect()
+    got = [(r.doc_id, sum((x & (2**64 - 1)) << 64 * i for i, x in enumerate((r.a, r.b, r.c, r.d))), r.component_id) for r in found]
+    want = slow_similar(rows)
+    assert sorted(got, key=repr) == want
+    assert len({c for _, _, c in want}) < 240
+
+
+def test_edited_copies_go_and_other_texts_stay(spark):
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    originals = [[r.choice(vocab) for _ in range(300)] for _ in range(60)]
+    copies = []
+    for words in originals:
+        own = words.copy()
+        for at in (50, 150, 250):  # 15 of 296 shingles: similarity 0.904
+            own[at] = "edited"
+        copies.append(own)
+    rows = [(i, " ".join(w)) for i, w in enumerate(originals + copies)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {x.doc_id for x in kept.collect()}
+    assert ids >= set(range(60))
+    assert len(ids) - 60 <= 3  # odds of a link at this similarity: 0.97
+
+
+def test_a_dense_group_is_spanned():
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(2**62), 2**62, (6, 4), dtype=np.int64)
+    fp = np.unique(base[rng.integers(0, 6, 900)] ^ (np.int64(1) << rng.integers(0, 62, (900, 4))), axis=0)
+    near = np.bitwise_count((fp[:, None] ^ fp[None]).view(np.uint64)).sum(-1) <= 7
+    left, right = np.nonzero(near & ~np.eye(len(fp), dtype=bool))
+    name = simhash.labels(fp)
+    u, v = simhash._searched(fp, 7)
+    as_sets = lambda a, b: dict(zip(*(x.tolist() for x in common.forest(a, b))))
+    assert as_sets(u, v) == as_sets(name[left], name[right])
+    assert len(u) < len(fp)
+    side = np.repeat([0, 1], len(fp))
+    met = list(simhash._meet(np.zeros(2 * len(fp), dtype=np.int64), side, np.concatenate([fp, fp]), 7, 1000))
+    assert as_sets(*(np.concatenate(x) for x in zip(*met))) == as_sets(u, v)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 1100)]
