@@ -23,8 +23,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, by fingerprints of five-word shingles."""
-    return simhash.drop_near_copies(docs, shingle=5)
+    """Keep one document of each group of near copies: five-word shingles, an estimated similarity of 0.8 or more."""
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
