@@ -96,13 +96,8 @@ class Rolling:
         return mix((prefix[starts + k] - prefix[starts]) * self._down[starts])
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) rows that connect what the links u-v connect: one for each node but the least of its component."""
-    if not len(u):
-        return u, v
-    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(names))
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lower label, whose entries name the least node known to be reachable, until the links a-b join no two names."""
     while True:
         la, lb = label[a], label[b]
         apart = la != lb
@@ -112,6 +107,45 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(label, la[apart], least[apart])
         np.minimum.at(label, lb[apart], least[apart])
         while (label[label] != label).any():
-            label = label[label]
+            label[:] = label[label]
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) rows that connect what the links u-v connect: one for each node but the least of its component."""
+    if not len(u):
+        return u, v
+    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(names))
+    _unite(label, a, b)
     moved = label != np.arange(len(names))
     return names[moved], names[label[moved]]
+
+
+def nearest_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those links (u, v, distance d) that make up so many successive least spanning forests, each of what the ones
+    before left over. At most that many rows per node stay, and every link does where no more than that many lead
+    from one part to another."""
+    if not len(u):
+        return u, v, d
+    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.minimum(flat[: len(u)], flat[len(u) :]), np.maximum(flat[: len(u)], flat[len(u) :])
+    _, once = np.unique(a * len(names) + b, return_index=True)
+    once = once[np.argsort(d[once], kind="stable")]
+    a, b, d = a[once], b[once], d[once]
+    taken = np.zeros(len(a), dtype=bool)
+    for _ in range(forests):
+        left = np.flatnonzero(~taken)
+        label = np.arange(len(names))
+        while len(left):
+            la, lb = label[a[left]], label[b[left]]
+            left = left[la != lb]
+            if not len(left):
+                break
+            first = np.full(len(names), len(a))
+            np.minimum.at(first, label[a[left]], left)
+            np.minimum.at(first, label[b[left]], left)
+            pick = np.unique(first[first < len(a)])
+            taken[pick] = True
+            _unite(label, a[pick], b[pick])
+    return names[a[taken]], names[b[taken]], d[taken]

@@ -20,12 +20,14 @@ fingerprints: 256 bits of the distinct five-word shingles, whose share of differ
 with a standard error of about 0.03. A key names the decoding of one segment and a codeword near the next one, so
 each of the 16 segment pairs makes one probe and one to six index rows. Pigeonhole can't cover that many errors: a
 pair shares a key with odds of 0.85 at similarity 0.8, 0.93 at 0.85, 0.98 at 0.9 and 0.999 at 0.95 (the tests
-measure them), and with the estimate's error it is linked with odds of 0.45, 0.80, 0.97 and 0.999.
+measure them). Rows that meet are candidates up to three standard errors beyond the expected distance, and a
+candidate is a link only if the shingle sets themselves are that similar. A key gives on the candidates of a few
+least spanning forests; they are confirmed nearest first, in rounds, between parts not yet connected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -35,16 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, forest, mix
+from candleforge.llm.common import binaries, checkpointed, forest, mix, nearest_links, written
 from candleforge.llm.components import components
 
 SHINGLE = 4
 MAX_BITS = 4
 #: Words of a wide fingerprint, 64 bits each, and their columns.
 WIDE = ("a", "b", "c", "d")
+#: Least spanning forests of candidates that a key gives on; radii, as shares of the greatest distance, of those that a
+#: search of a dense key takes instead.
+FORESTS = 4
+RADII = (0.3, 0.5, 0.7, 0.85, 1.0)
 #: Probes of one key that are held in memory together; keys with more are split into blocks.
 BLOCK = 2048
-#: Split keys that are broadcast; more are joined.
+#: Split keys, or classes with candidates (16 bytes each), that are broadcast; more are joined.
 BROADCAST_KEYS = 100_000
 
 _PAIRS = tuple((i, (i + step) % 4) for i in range(4) for step in (1, 2))
@@ -111,20 +117,28 @@ def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of wide fingerprints up to which two equally large shingle sets pass for that similar (Jaccard)."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * len(WIDE))
+    """Differing bits of wide fingerprints beyond which shingle sets of that similarity (Jaccard) are only with odds of
+    about 0.001: the expected number for equally large sets, which is the most, and three standard errors."""
+    share, n = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * len(WIDE)
+    return int(n * share + 3 * np.sqrt(n * share * (1 - share)))
+
+
+def _texts(docs: DataFrame, text_col: str) -> list:
+    """The text as bytes (null: empty) and a hash that names it."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [text.cast("binary").alias("t"), F.xxhash64(text).alias("content")]
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, a, b, c, d long) of every row; null text is empty."""
+    """(id, content, a, b, c, d long) of every row; null text is empty, content names the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([wide_fingerprint(t, shingle) for t in binaries(batch.column("t"))], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c) for c in fps.T)], names=["id", *WIDE])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), *(pa.array(c) for c in fps.T)], names=["id", "content", *WIDE])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return source.mapInArrow(run, "id long, a long, b long, c long, d long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), *_texts(docs, text_col))
+    return source.mapInArrow(run, "id long, content long, a long, b long, c long, d long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -205,18 +219,23 @@ def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count((left ^ right).view(np.uint64)).sum(-1, dtype=np.int64)
 
 
-def _verified(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _verified(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d = _apart(left, right)
     ok = (d > 0) & (d <= bits)
-    return labels(np.ascontiguousarray(left[ok])), labels(np.ascontiguousarray(right[ok]))
+    return labels(np.ascontiguousarray(left[ok])), labels(np.ascontiguousarray(right[ok])), d[ok]
+
 
+def _spanning(u: np.ndarray, v: np.ndarray, d: np.ndarray, wide: bool) -> tuple[np.ndarray, ...]:
+    """What a key gives on: any forest of narrow links, which are final; the nearest candidates of wide ones."""
+    return nearest_links(u, v, d, FORESTS) if wide else forest(u, v)
 
-def _searched(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _searched(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A spanning forest of all links in fp by breadth-first search: what is reached is compared no more, so a dense
     group costs little more than one pass."""
     name = labels(fp)
     rest = np.arange(len(fp))
-    us, vs = [], []
+    us, vs, ds = [], [], []
     while len(rest):
         waiting, rest = [rest[0]], rest[1:]
         while waiting and len(rest):
@@ -228,14 +247,16 @@ def _searched(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
                 linked = new[d[near] > 0]
                 us.append(np.full(len(linked), name[i]))
                 vs.append(name[linked])
+                ds.append(d[near][d[near] > 0])
                 waiting.extend(new.tolist())
                 rest = rest[~near]
     none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+    return np.concatenate([none, *us]), np.concatenate([none, *vs]), np.concatenate([none, *ds])
 
 
-def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forests of the verified links of whole groups; rows are sorted by group, probes first."""
+def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, ...]]:
+    """Spanning links of whole groups; rows are sorted by group, probes first."""
+    wide = fp.shape[1] > 1
     edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
     end = np.r_[edge[1:], len(group)]
     probes = np.add.reduceat(side == 0, edge) if len(edge) else edge
@@ -250,21 +271,25 @@ def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most:
         s, p, q, n = edge[done:upto], probes[done:upto], index[done:upto], pairs[done:upto]
         done = upto
         if len(s) == 1 and n[0] > most:
-            yield forest(*_searched(np.unique(fp[s[0] : s[0] + p[0] + q[0]], axis=0), bits))
+            own = np.unique(fp[s[0] : s[0] + p[0] + q[0]], axis=0)
+            radii = sorted({int(bits * x) for x in RADII}) if wide else [bits]
+            found = [np.concatenate(x) for x in zip(*(_searched(own, r) for r in radii))]
+            yield _spanning(*found, wide)
             continue
         off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(q, n)
         start = np.repeat(s, n)
         left = fp[start + off // width]
         right = fp[start + np.repeat(p, n) + off % width]
-        yield forest(*_verified(left, right, bits))
+        yield _spanning(*_verified(left, right, bits), wide)
 
 
 def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
     """(u, v) links, by `labels`, of fingerprints that differ in at most `bits` bits.
 
     distinct: one row per fingerprint. One column of 64 bits: bits may be 0 to 4, and the links connect exactly what
-    all such links connect. The columns WIDE: any bits; links of fingerprints that share a key.
+    all such links connect. The columns WIDE: any bits; (u, v, distance) candidates among fingerprints that share a
+    key, the nearest FORESTS spanning forests per key.
     """
     if len(columns) == 1 and not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
@@ -283,13 +308,15 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
     else:
         rows = rows.withColumn("block", F.lit(0))
 
+    names = ["u", "v", "distance"][: 2 + (len(columns) > 1)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.zeros(0, dtype=np.int64)
         blk = np.zeros(0, dtype=np.int64)
         fp = np.zeros((0, len(columns)), dtype=np.int64)
 
-        def out(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+        def out(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=names)
 
         for batch in batches:
             key, blk = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in ((key, "k"), (blk, "block")))
@@ -313,7 +340,63 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
                 yield out(found)
 
     dealt = rows.repartition(bucket, "block").sortWithinPartitions(bucket, "block", "k")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def shingle_sets(docs: DataFrame, text_col: str, classes: DataFrame, shingle: int) -> DataFrame:
+    """(label, hashes binary) of classes (label, content): the sorted distinct shingle hashes of the text so named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in binaries(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets, type=pa.binary())], names=["label", "hashes"])
+
+    few = classes.count() <= BROADCAST_KEYS
+    named = docs.select(*_texts(docs, text_col)).join(F.broadcast(classes) if few else classes, "content")
+    once = named.groupBy("label").agg(F.first("t").alias("t"))
+    return written(once.mapInArrow(run, "label long, hashes binary"), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (u, v) whose shingle sets have that similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column("one"), batch.column("other")):
+                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (one, other))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("label").alias("u"), F.col("hashes").alias("one")), "u")
+    return left.join(sets.select(F.col("label").alias("v"), F.col("hashes").alias("other")), "v").mapInArrow(run, "u long, v long")
+
+
+def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) over the candidates (u, v, distance) whose sets (label, hashes) have that similarity.
+
+    Every round compares, for each part connected so far, its nearest untried candidate to another part; later
+    rounds take up to 16, 256, ... of them. Candidates within a part need no comparison. The rounds end when none is
+    left, so none is dropped untried.
+    """
+    rest = candidates.select("u", "v", "distance", F.col("u").alias("ru"), F.col("v").alias("rv"))
+    links = candidates.select("u", "v").limit(0)
+    roots, width = None, 1
+    while True:
+        salt = F.pmod(F.xxhash64("u", "v"), F.lit(width)).alias("salt")
+        ends = [rest.select(F.col(r).alias("part"), salt, F.struct("distance", "u", "v").alias("edge")) for r in ("ru", "rv")]
+        picked = ends[0].unionByName(ends[1]).groupBy("part", "salt").agg(F.min("edge").alias("edge")).select("edge.u", "edge.v").distinct()
+        picked = checkpointed(picked)
+        if picked.isEmpty():
+            return roots if roots is not None else components(links)
+        links = checkpointed(links.unionByName(_similar(picked, sets, similarity)))
+        roots = checkpointed(components(links))
+        named = rest.select("u", "v", "distance").join(picked, ["u", "v"], "left_anti")
+        for end, root in (("u", "ru"), ("v", "rv")):
+            named = named.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+        rest = checkpointed(named.where("ru <> rv"))
+        width *= 16
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
@@ -325,31 +408,44 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id). Repeated rows are repeated in the result. An empty table gives an empty result. Other columns
     of docs are not read.
     """
-    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), bits)
+    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), lambda classes: components(links(classes, bits)))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, a, b, c, d long, component_id) of every row of docs, by wide fingerprints.
 
-    Links join fingerprints in at most `most_bits(similarity)` differing bits that share a key; the similarity is the
-    Jaccard similarity of the sets of lower-cased word shingles, as the differing bits estimate it. Cases are handled
-    as by simhash_groups.
+    Links join texts whose sets of lower-cased word shingles have that Jaccard similarity, among those whose
+    fingerprints share a key and differ in at most `most_bits(similarity)` bits; equal fingerprints are linked
+    unseen. Cases are handled as by simhash_groups.
     """
-    return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, most_bits(similarity))
 
+    def rooted(classes: DataFrame) -> DataFrame:
+        found = links(classes, most_bits(similarity), columns=WIDE)
+        found = found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
+        found = checkpointed(found)
+        ends = found.select(F.explode(F.array("u", "v")).alias("label")).distinct()
+        sets = shingle_sets(docs, text_col, checkpointed(classes.select("label", "content").join(ends, "label")), shingle)
+        return confirmed(found, sets, similarity)
+
+    return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted)
+
+
+def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, columns, component_id); rooted makes (node, root) of the classes (columns, least, content, label)."""
 
-def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels(_matrix(batch, columns)))], names=[*batch.schema.names, "label"])
 
     fps = checkpointed(fingerprinted)
-    schema = ", ".join(f"{c} long" for c in (*columns, "least"))
-    classes = checkpointed(fps.groupBy(*columns).agg(F.min("id").alias("least")).mapInArrow(run, f"{schema}, label long"))
-    roots = components(links(classes, bits, columns=columns)).select(F.col("node").alias("label"), "root")
-    rooted = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
-    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpointed(rooted.join(least, "root").select(*columns, "component_id"))
+    content = "content" if "content" in fps.columns else F.lit(None).cast("long")
+    schema = ", ".join(f"{c} long" for c in (*columns, "least", "content"))
+    classes = fps.groupBy(*columns).agg(F.min("id").alias("least"), F.min(content).alias("content"))
+    classes = checkpointed(classes.mapInArrow(run, f"{schema}, label long"))
+    roots = rooted(classes).select(F.col("node").alias("label"), "root")
+    joined = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
+    least = checkpointed(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpointed(joined.join(least, "root").select(*columns, "component_id"))
     return fps.join(named, list(columns)).select(F.col("id").alias("doc_id"), *columns, "component_id")
 
 
