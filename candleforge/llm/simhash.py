@@ -22,7 +22,7 @@ each of the 16 segment pairs makes one probe and one to six index rows. Pigeonho
 pair shares a key with odds of 0.85 at similarity 0.8, 0.93 at 0.85, 0.98 at 0.9 and 0.999 at 0.95 (the tests
 measure them). Rows that meet are candidates up to three standard errors beyond the expected distance, and a
 candidate is a link only if the shingle sets themselves are that similar. A key gives on the candidates of a few
-least spanning forests; they are confirmed nearest first, in rounds, between parts not yet connected.
+least spanning forests; each fingerprint's nearest is confirmed first, then those between parts not yet connected.
 """
 
 from __future__ import annotations
@@ -376,27 +376,20 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) over the candidates (u, v, distance) whose sets (label, hashes) have that similarity.
 
-    Every round compares, for each part connected so far, its nearest untried candidate to another part; later
-    rounds take up to 16, 256, ... of them. Candidates within a part need no comparison. The rounds end when none is
-    left, so none is dropped untried.
+    First every node's nearest candidate is compared; then all others, but for those within a part that is connected
+    by now, which could add nothing. So none is dropped untried, and the copies of a large group are compared with
+    few others each.
     """
-    rest = candidates.select("u", "v", "distance", F.col("u").alias("ru"), F.col("v").alias("rv"))
-    links = candidates.select("u", "v").limit(0)
-    roots, width = None, 1
-    while True:
-        salt = F.pmod(F.xxhash64("u", "v"), F.lit(width)).alias("salt")
-        ends = [rest.select(F.col(r).alias("part"), salt, F.struct("distance", "u", "v").alias("edge")) for r in ("ru", "rv")]
-        picked = ends[0].unionByName(ends[1]).groupBy("part", "salt").agg(F.min("edge").alias("edge")).select("edge.u", "edge.v").distinct()
-        picked = checkpointed(picked)
-        if picked.isEmpty():
-            return roots if roots is not None else components(links)
-        links = checkpointed(links.unionByName(_similar(picked, sets, similarity)))
-        roots = checkpointed(components(links))
-        named = rest.select("u", "v", "distance").join(picked, ["u", "v"], "left_anti")
-        for end, root in (("u", "ru"), ("v", "rv")):
-            named = named.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
-        rest = checkpointed(named.where("ru <> rv"))
-        width *= 16
+    ends = [candidates.select(F.col(end).alias("node"), F.struct("distance", "u", "v").alias("edge")) for end in ("u", "v")]
+    nearest = ends[0].unionByName(ends[1]).groupBy("node").agg(F.min("edge").alias("edge")).select("edge.u", "edge.v").distinct()
+    nearest = checkpointed(nearest)
+    first = checkpointed(_similar(nearest, sets, similarity))
+    roots = checkpointed(components(first))
+    rest = candidates.select("u", "v").join(nearest, ["u", "v"], "left_anti")
+    for end, root in (("u", "ru"), ("v", "rv")):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+    others = checkpointed(_similar(checkpointed(rest.where("ru <> rv").select("u", "v")), sets, similarity))
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(others.select("u", "v")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:

@@ -225,7 +225,7 @@ def test_nearest_links_keep_every_narrow_cut():
     assert {(int(x), int(y)) for x, y in zip(a, b)} >= {(0, 100), (1, 101), (2, 102)}
 
 
-def test_rounds_try_every_candidate_between_parts(spark):
+def test_every_candidate_between_parts_is_tried(spark):
     """Of many candidates between two dense parts only the farthest is similar enough."""
     base = [list(range(1000 * p, 1000 * p + 100)) for p in (1, 2)]
     sets = {i: sorted(base[0]) + [i] for i in range(8)} | {100 + i: sorted(base[1]) + [100 + i] for i in range(8)}
