@@ -44,10 +44,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: Words of a wide fingerprint, 64 bits each, and their columns.
 WIDE = ("a", "b", "c", "d")
-#: Least spanning forests of candidates that a key gives on; radii, as shares of the greatest distance, of those that a
-#: search of a dense key takes instead.
+#: Least spanning forests of candidates that a key gives on.
 FORESTS = 4
-RADII = (0.3, 0.5, 0.7, 0.85, 1.0)
 #: Probes of one key that are held in memory together; keys with more are split into blocks.
 BLOCK = 2048
 #: Split keys, or classes with candidates (16 bytes each), that are broadcast; more are joined.
@@ -254,6 +252,25 @@ def _searched(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate([none, *us]), np.concatenate([none, *vs]), np.concatenate([none, *ds])
 
 
+def _compared(probe: np.ndarray, index: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest candidates of all pairs of probe and index rows, compared in blocks of at most `most` pairs. A least
+    forest of a part holds every link of the whole one that lies in the part, so the outcome is that of one block."""
+    probe, index = np.unique(probe, axis=0), np.unique(index, axis=0)
+    names = labels(probe), labels(index)
+    high = max(1, min(len(probe), int(most**0.5)))
+    broad = max(1, most // high)
+    none = np.zeros(0, dtype=np.int64)
+    kept = none, none, none
+    for at in range(0, len(probe), high):
+        for to in range(0, len(index), broad):
+            p, q = probe[at : at + high], index[to : to + broad]
+            d = sum(np.bitwise_count((p[:, None, w] ^ q[None, :, w]).view(np.uint64)).astype(np.uint16) for w in range(probe.shape[1]))
+            i, j = np.nonzero((d > 0) & (d <= bits))
+            found = names[0][at + i], names[1][to + j], d[i, j].astype(np.int64)
+            kept = nearest_links(*(np.concatenate(x) for x in zip(kept, found)), FORESTS)
+    return kept
+
+
 def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, ...]]:
     """Spanning links of whole groups; rows are sorted by group, probes first."""
     wide = fp.shape[1] > 1
@@ -271,10 +288,8 @@ def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most:
         s, p, q, n = edge[done:upto], probes[done:upto], index[done:upto], pairs[done:upto]
         done = upto
         if len(s) == 1 and n[0] > most:
-            own = np.unique(fp[s[0] : s[0] + p[0] + q[0]], axis=0)
-            radii = sorted({int(bits * x) for x in RADII}) if wide else [bits]
-            found = [np.concatenate(x) for x in zip(*(_searched(own, r) for r in radii))]
-            yield _spanning(*found, wide)
+            at, to = s[0] + p[0], s[0] + p[0] + q[0]
+            yield _compared(fp[s[0] : at], fp[at:to], bits, most) if wide else forest(*_searched(np.unique(fp[s[0] : to], axis=0), bits)[:2])
             continue
         off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(q, n)

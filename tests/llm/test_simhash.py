@@ -300,6 +300,35 @@ def test_a_dense_group_is_spanned():
     assert as_sets(*(np.concatenate([x[i] for x in met]) for i in (0, 1))) == as_sets(u, v)
 
 
+def test_a_dense_key_gives_on_what_a_small_one_would():
+    """A family whose texts are all candidates of each other, with 60 pairs of nearer copies."""
+    rng = np.random.default_rng(19)
+
+    def flipped(fps, n):
+        out = fps.copy()
+        for row in out:
+            for bit in rng.choice(256, n, replace=False).tolist():
+                row[bit // 64] ^= np.uint64(1 << bit % 64)
+        return out
+
+    family = flipped(np.repeat(rng.integers(0, 2**64, (1, 4), dtype=np.uint64), 800, axis=0), 27)
+    fp = np.unique(np.concatenate([family, flipped(family[:60], 36)]).view(np.int64), axis=0)
+    group, side, both = np.zeros(2 * len(fp), dtype=np.int64), np.repeat([0, 1], len(fp)), np.concatenate([fp, fp])
+    held = lambda most: {(min(u, v), max(u, v), d) for part in simhash._meet(group, side, both, 55, most) for u, v, d in zip(*(x.tolist() for x in part))}
+    dense, ordinary = held(1 << 14), held(1 << 30)
+    assert dense == ordinary
+    a, b = simhash.labels(family[:60].view(np.int64)), {int(x) for x in simhash.labels(fp)}
+    assert len(b) == len(fp)
+    met = {(u, v) for u, v, _ in dense}
+    near = np.bitwise_count((fp[:, None] ^ fp[None]).view(np.uint64)).sum(-1)
+    np.fill_diagonal(near, 999)
+    name = simhash.labels(fp).tolist()
+    for i, x in enumerate(name):  # each text meets a nearest other
+        if near[i].min() <= 55:
+            assert any((min(x, name[j]), max(x, name[j])) in met for j in np.flatnonzero(near[i] == near[i].min()).tolist())
+    assert set(a.tolist()) <= {x for pair in met for x in pair}
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 1100)]
