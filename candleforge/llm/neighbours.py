@@ -10,8 +10,10 @@
 5. Links are counted exactly within components, without listing pairs: vectors within half the threshold angle
    of the component's mean are pairwise linked by the triangle inequality, so only the others are compared, block
    by block.
-6. Recall is audited: a sample's true link counts, by brute force against all vectors, are set against the counts
-   found. Below the target, more buckets and rounds are added.
+6. Recall is audited class by class: a sampled class is right if the links found are all it truly has, by brute force
+   against all vectors. Samples are drawn among classes of large components, of small ones and without links, and
+   the target must be met by all classes and by those outside large components. Until then, buckets and rounds are
+   added; a run that stops short of the target fails.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ TABLES, ROUNDS = 8, 2
 #: Vectors of a bucket, on average and at most; vectors that a Python group holds at once.
 BUCKET, MOST_BUCKET, GROUP = 32, 256, 16384
 BLOCK = 512
-AUDIT, RECALL, ATTEMPTS = 256, 0.98, 4
+#: Classes sampled of each kind, share of linked ones that must be right, attempts before the run fails.
+AUDIT, RECALL, ATTEMPTS = 256, 0.98, 16
+#: Classes of a component that counts as large.
+LARGE = 64
 EDGE = "a long, b long, s double"
 
 
@@ -212,30 +217,50 @@ def _counts(nodes: DataFrame, roots: DataFrame, width: int, threshold: float) ->
     return placed.join(facts, "root").join(added, "cid", "left").select("cid", "root", (sure - 1 + F.coalesce("add", F.lit(0))).alias("links"))
 
 
-def _audited(nodes: DataFrame, found: DataFrame, width: int, threshold: float, sample: int) -> tuple[int, int]:
-    """(links found, true links) of `sample` classes, those with the least hash."""
-    picked = nodes.orderBy(F.xxhash64("cid", F.lit("audit")), "cid").limit(sample).select("cid", "u", "m").collect()
+def _audited(nodes: DataFrame, found: DataFrame, width: int, threshold: float, sample: int) -> tuple[float, float]:
+    """Estimated share of right classes among those with true links to other rows: of all, and of those outside large
+    components. Links are counted in full within a component, so a class is right if its count is: then all that it
+    links to is in its component. Classes without links to other rows don't count; a share of nothing is 1."""
+    sizes = checkpointed(found.groupBy("root").agg(F.count("*").alias("size")))
+    kind = F.when(F.col("size") > LARGE, 0).when(F.col("size") > 1, 1).otherwise(2)
+    placed = nodes.select("cid", "u", "m").join(found, "cid", "left").join(sizes, "root", "left").withColumn("kind", kind)
+    placed = checkpointed(placed.select("cid", "u", "m", "kind", F.coalesce("links", F.col("m") - 1).alias("links")))
+    held = {r.kind: r.n for r in placed.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    picked = []
+    for one in held:
+        picked += placed.where(F.col("kind") == one).orderBy(F.xxhash64("cid", F.lit("audit")), "cid").limit(sample).collect()
     if not picked:
-        return 0, 0
-    asked = nodes.sparkSession.sparkContext.broadcast(stacked([r.u for r in picked], width).T)  # sample x width numbers
+        return 1.0, 1.0
+    asked = nodes.sparkSession.sparkContext.broadcast(stacked([r.u for r in picked], width).T)  # samples x width numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(asked.value.shape[1], dtype=np.int64)
         for batch in batches:
-            total += batch.column("m").to_numpy() @ (stacked(batch.column("u").to_pylist(), width) @ asked.value >= threshold)
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                total += part.column("m").to_numpy() @ (stacked(part.column("u").to_pylist(), width) @ asked.value >= threshold)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
 
     true = {r.i: r.n for r in nodes.select("u", "m").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    # a class's own rows are always found
-    got = {r.cid: r.links + 1 for r in found.where(F.col("cid").isin([r.cid for r in picked])).select("cid", "links").collect()}
-    return sum(got.get(r.cid, r.m) - 1 for r in picked), sum(max(true[i], r.m) - 1 for i, r in enumerate(picked))
+    drawn, right, linked = ({k: 0 for k in held} for _ in range(3))
+    for i, r in enumerate(picked):
+        drawn[r.kind] += 1
+        if true[i] > r.m:  # its own rows are always found
+            linked[r.kind] += 1
+            right[r.kind] += r.links + 1 >= true[i]
+
+    def share(kinds: set[int]) -> float:
+        whole, part = (sum(x[k] * held[k] / drawn[k] for k in kinds) for x in (linked, right))
+        return part / whole if whole else 1.0
+
+    return share(set(held)), share(set(held) - {0})
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     n_links: other rows with a cosine of at least `threshold` that were found, in double precision; component_id:
-    the least id reachable by links; kept: whether it is the row's own. Vectors that are null, empty, zero or hold
+    the least id reachable by links; an audit that never meets `recall` raises a RuntimeError; kept: whether it is the row's own. Vectors that are null, empty, zero or hold
     a null or non-finite component link with nothing. Shorter vectors count as padded with zeros. Rows repeated
     under one id count each; a row with a null id takes part without being a least id, and is never kept. An empty
     table gives an empty result; other columns are not read.
@@ -252,10 +277,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             graph.descend()
         roots = components(graph.links())
         found = checkpointed(_counts(nodes, roots, width, threshold))
-        got, true = _audited(nodes, found, width, threshold, AUDIT)
-        log.info("NN-descent, attempt %d: %d of %d audited links", attempt + 1, got, true)
-        if got >= recall * true:
+        right, small = _audited(nodes, found, width, threshold, AUDIT)
+        log.info("NN-descent, attempt %d: %.4f of all linked classes are right, %.4f outside large components", attempt + 1, right, small)
+        if min(right, small) >= recall:
             break
+    else:
+        raise RuntimeError(f"op2: after {ATTEMPTS} attempts {right:.4f} of all linked classes are right and {small:.4f} outside large components, not {recall}")
     named = nodes.join(found, "cid", "left").select("u", "m", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.col("m") - 1).alias("links"))
     least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component")))
     named = named.join(least, "root").select("u", "links", "component")

@@ -86,3 +86,28 @@ def test_saturated_lists_grow(spark):
     graph.descend()
     assert graph.limits.agg(F.max("most")).first()[0] == 32
     assert graph.edges.groupBy("a").count().agg(F.max("count")).first()[0] > 8
+
+
+def test_a_large_group_does_not_hide_missed_pairs(spark, monkeypatch):
+    """One group of 500 among 40 pairs; found holds every link of the group and of few pairs."""
+    r = np.random.default_rng(80)
+    rows = [v for _, v in sorted(clusters(8, [500], 0, 0.05))]
+    for _ in range(40):
+        base = r.normal(size=32)
+        rows += [list(base), list(base + 0.01 * r.normal(size=32))]
+    nodes = spark.createDataFrame([(i, neighbours.unit(v).tolist(), 1, i) for i, v in enumerate(rows)], "cid long, u array<double>, m long, least long")
+
+    def counted(pairs):
+        near = [(i, 0, 499) for i in range(500)] + [(500 + i, 500 + i // 2 * 2, 1) for i in range(2 * pairs)]
+        return spark.createDataFrame(near, "cid long, root long, links long")
+
+    assert neighbours._audited(nodes, counted(40), 32, 0.95, 256) == (1.0, 1.0)
+    every, small = neighbours._audited(nodes, counted(10), 32, 0.95, 256)
+    assert small == pytest.approx(0.25)
+    assert every == pytest.approx(520 / 580)
+    tried = []
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 2)
+    monkeypatch.setattr(neighbours, "_audited", lambda *a: tried.append(1) or (1.0, 0.5))
+    with pytest.raises(RuntimeError, match="0.5000 outside"):
+        neighbours.near_duplicates(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows[480:])], SCHEMA))
+    assert len(tried) == 2
