@@ -46,6 +46,8 @@ MAX_BITS = 4
 WIDE = ("a", "b", "c", "d")
 #: Least spanning forests of candidates that a key gives on.
 FORESTS = 4
+#: Distinct shingles up to which texts are joined exactly, and rows of one of their keys that are compared in one cell.
+SHORT, CELL = 40, 512
 #: Probes of one key that are held in memory together; keys with more are split into blocks.
 BLOCK = 2048
 #: Split keys, or classes with candidates (16 bytes each), that are broadcast; more are joined.
@@ -110,7 +112,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
     """Four words: majority of 256 bits derived from the hash of every distinct word shingle; zeros without words."""
-    own = np.unique(shingle_hashes(text, shingle))
+    return wide(np.unique(shingle_hashes(text, shingle)))
+
+
+def wide(own: np.ndarray) -> np.ndarray:
+    """The same of the distinct shingle hashes."""
     return majority(np.stack([mix(own + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) for i in range(len(WIDE))], axis=1))
 
 
@@ -128,15 +134,18 @@ def _texts(docs: DataFrame, text_col: str) -> list:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, content, a, b, c, d long) of every row; null text is empty, content names the text."""
+    """(id, content, short, a, b, c, d long) of every row; null text is empty, content names the text, short (binary)
+    holds the sorted distinct shingle hashes where there are 1 to SHORT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(t, shingle) for t in binaries(batch.column("t"))], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), *(pa.array(c) for c in fps.T)], names=["id", "content", *WIDE])
+            own = [np.unique(shingle_hashes(t, shingle)) for t in binaries(batch.column("t"))]
+            fps = np.array([wide(x) for x in own], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
+            short = pa.array([x.tobytes() if 0 < len(x) <= SHORT else None for x in own], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), short, *(pa.array(c) for c in fps.T)], names=["id", "content", "short", *WIDE])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), *_texts(docs, text_col))
-    return source.mapInArrow(run, "id long, content long, a long, b long, c long, d long")
+    return source.mapInArrow(run, "id long, content long, short binary, a long, b long, c long, d long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -388,8 +397,81 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return left.join(sets.select(F.col("label").alias("v"), F.col("hashes").alias("other")), "v").mapInArrow(run, "u long, v long")
 
 
-def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over the candidates (u, v, distance) whose sets (label, hashes) have that similarity.
+def _alike(own: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that connect the rows of one cell (labels, sets) as all exact ones do, by breadth-first search: links
+    are final, so what is reached is compared no more."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    _, token = np.unique(flat, return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(size)))
+    order = np.argsort(token, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.concatenate(([0], np.cumsum(np.bincount(token))))
+    rest = np.ones(len(sets), dtype=bool)
+    us, vs = [], []
+    for start in range(len(sets)):
+        if not rest[start]:
+            continue
+        rest[start] = False
+        waiting = [start]
+        while waiting:
+            i = waiting.pop()
+            common = np.bincount(np.concatenate([holder[first[t] : first[t + 1]] for t in token[at[i] : at[i + 1]]]), minlength=len(sets))
+            new = np.flatnonzero(rest & (common >= similarity * (size[i] + size - common)))
+            us.append(np.full(len(new), own[i]))
+            vs.append(own[new])
+            rest[new] = False
+            waiting.extend(new.tolist())
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def short_links(sets: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
+    """(u, v) links that connect what all pairs of sets (label, short) of at least that similarity connect.
+
+    Exact. In one order of all shingles, the rarest first, two similar sets share one of the first n - similarity * n
+    (rounded down) + 1 of each, n being the set's size; those are its keys. A key with many rows is dealt over cells, so
+    that any two of them meet in one.
+    """
+    rows = checkpointed(sets.distinct().withColumn("n", (F.octet_length("short") / 8).cast("int")).withColumn("row", F.monotonically_increasing_id()))
+    place = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
+    tokens = rows.select("row", "n", F.col("short"), place).select("row", "n", F.hex(F.substring("short", F.col("i") * 8 + 1, F.lit(8))).alias("token"))
+    often = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
+    # a shingle that one set alone has comes first and is no key
+    ranked = tokens.join(often, "token", "left").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "token"))).alias("all"))
+    length = F.floor(F.col("n") * (1 - similarity) + 1e-9).cast("int") + 1
+    keys = ranked.select("row", F.explode(F.slice("all", F.lit(1), length)).alias("key")).where("key.often > 1").select("row", F.col("key.token").alias("token"))
+    keys = checkpointed(keys)
+    parts = keys.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    parts = checkpointed(parts.select("token", F.ceil(F.col("n") / cell).cast("int").alias("parts")))
+    mine = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    dealt = keys.join(parts, "token").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("row", "token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    named = dealt.join(rows.select("row", "label", "short"), "row").select("token", "x", "y", "label", "short")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            u, v = _alike(np.array([x for x, _ in held], dtype=np.int64), [np.frombuffer(x, dtype="<u8") for _, x in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        now, held = None, []
+        for batch in batches:
+            for *key, label, short in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if len(held) > 1:
+                        yield out(held)
+                    now, held = key, []
+                held.append((label, short))
+        if len(held) > 1:
+            yield out(held)
+
+    cells = named.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return checkpointed(cells.mapInArrow(run, "u long, v long").where("u <> v").distinct())
+
+
+def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float, sure: DataFrame | None = None) -> DataFrame:
+    """(node, root) over the candidates (u, v, distance) whose sets (label, hashes) have that similarity, and the links
+    (u, v) that are sure.
 
     First every node's nearest candidate is compared; then all others, but for those within a part that is connected
     by now, which could add nothing. So none is dropped untried, and the copies of a large group are compared with
@@ -398,7 +480,8 @@ def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float) -> Data
     ends = [candidates.select(F.col(end).alias("node"), F.struct("distance", "u", "v").alias("edge")) for end in ("u", "v")]
     nearest = ends[0].unionByName(ends[1]).groupBy("node").agg(F.min("edge").alias("edge")).select("edge.u", "edge.v").distinct()
     nearest = checkpointed(nearest)
-    first = checkpointed(_similar(nearest, sets, similarity))
+    first = _similar(nearest, sets, similarity)
+    first = checkpointed(first if sure is None else first.unionByName(sure))
     roots = checkpointed(components(first))
     rest = candidates.select("u", "v").join(nearest, ["u", "v"], "left_anti")
     for end, root in (("u", "ru"), ("v", "rv")):
@@ -416,30 +499,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id). Repeated rows are repeated in the result. An empty table gives an empty result. Other columns
     of docs are not read.
     """
-    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), lambda classes: components(links(classes, bits)))
+    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), lambda classes, _: components(links(classes, bits)))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, a, b, c, d long, component_id) of every row of docs, by wide fingerprints.
 
-    Links join texts whose sets of lower-cased word shingles have that Jaccard similarity, among those whose
-    fingerprints share a key and differ in at most `most_bits(similarity)` bits; equal fingerprints are linked
-    unseen. Cases are handled as by simhash_groups.
+    Links join texts whose sets of lower-cased word shingles have that Jaccard similarity: all of those with at most
+    SHORT distinct shingles each, and others among those whose fingerprints share a key and differ in at most
+    `most_bits(similarity)` bits; equal fingerprints are linked unseen. Cases are handled as by simhash_groups.
     """
 
-    def rooted(classes: DataFrame) -> DataFrame:
+    def rooted(classes: DataFrame, labelled: DataFrame) -> DataFrame:
+        sure = short_links(labelled.select("label", "short"), similarity)
         found = links(classes, most_bits(similarity), columns=WIDE)
         found = found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
         found = checkpointed(found)
         ends = found.select(F.explode(F.array("u", "v")).alias("label")).distinct()
         sets = shingle_sets(docs, text_col, checkpointed(classes.select("label", "content").join(ends, "label")), shingle)
-        return confirmed(found, sets, similarity)
+        return confirmed(found, sets, similarity, sure)
 
     return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted)
 
 
-def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, columns, component_id); rooted makes (node, root) of the classes (columns, least, content, label)."""
+def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, columns, component_id); rooted makes (node, root) of the classes (columns, least, content, label) and of
+    the fingerprinted rows with their label, only short ones where those are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,7 +535,9 @@ def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callabl
     schema = ", ".join(f"{c} long" for c in (*columns, "least", "content"))
     classes = fps.groupBy(*columns).agg(F.min("id").alias("least"), F.min(content).alias("content"))
     classes = checkpointed(classes.mapInArrow(run, f"{schema}, label long"))
-    roots = rooted(classes).select(F.col("node").alias("label"), "root")
+    short = fps.where("short is not null") if "short" in fps.columns else fps
+    labelled = short.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in fps.schema) + ", label long")
+    roots = rooted(classes, labelled).select(F.col("node").alias("label"), "root")
     joined = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
     least = checkpointed(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpointed(joined.join(least, "root").select(*columns, "component_id"))

@@ -329,6 +329,34 @@ def test_a_dense_key_gives_on_what_a_small_one_would():
     assert set(a.tolist()) <= {x for pair in met for x in pair}
 
 
+def test_short_near_copies_all_go(spark):
+    """A word or more appended to short texts: fingerprints miss many of these pairs."""
+    r = random.Random(21)
+    rows, wanted = [], set()
+    for words, more in ((8, 1), (10, 1), (16, 3), (12, 1)):
+        for _ in range(60):
+            own = [f"w{r.randrange(10**6)}" for _ in range(words)]
+            copy = own + [f"w{r.randrange(10**6)}" for _ in range(more)]
+            assert jaccard(slow_shingles(" ".join(own)), slow_shingles(" ".join(copy))) >= 0.8
+            wanted.add(len(rows))
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(copy))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == wanted
+
+
+@pytest.mark.parametrize("cell", [3, 512])
+def test_short_links_equal_brute_force(spark, cell):
+    r = random.Random(22)
+    bases = [[r.randrange(1, 2**63) for _ in range(n)] for n in (1, 2, 4, 5, 9, 10, 20, 37)]
+    sets = [{x + r.choice((0, 0, 0, 0, 0, 0, 0, 1, 2)) for x in b[: r.randint(max(1, len(b) - 2), len(b))]} for b in bases for _ in range(25)] + [set(bases[5])] * 2
+    held = [(i, bytearray(np.array(sorted(x), dtype="<u8").tobytes())) for i, x in enumerate(sets)]
+    found = simhash.short_links(spark.createDataFrame(held, "label long, short binary"), 0.8, cell).collect()
+    assert all(jaccard(sets[u], sets[v]) >= 0.8 for u, v in found)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    as_sets = lambda links: dict(zip(*(x.tolist() for x in common.forest(*(np.array(x) for x in zip(*links))))))
+    assert as_sets([(u, v) for u, v in found]) == as_sets(pairs)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 1100)]
