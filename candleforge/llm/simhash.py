@@ -510,6 +510,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `most_bits(similarity)` bits; equal fingerprints are linked unseen. Cases are handled as by simhash_groups.
     """
 
+    return _similar_rows(docs, id_col, text_col, shingle, similarity).drop("content", "root")
+
+
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The same with the content and the group's root of every row."""
+
     def rooted(classes: DataFrame, labelled: DataFrame) -> DataFrame:
         sure = short_links(labelled.select("label", "short"), similarity)
         found = links(classes, most_bits(similarity), columns=WIDE)
@@ -519,11 +525,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets = shingle_sets(docs, text_col, checkpointed(classes.select("label", "content").join(ends, "label")), shingle)
         return confirmed(found, sets, similarity, sure)
 
-    return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted)
+    return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted, ("content", "root"))
 
 
-def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, columns, component_id); rooted makes (node, root) of the classes (columns, least, content, label) and of
+def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callable[[DataFrame, DataFrame], DataFrame], more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns, component_id, more); rooted makes (node, root) of the classes (columns, least, content, label) and of
     the fingerprinted rows with their label, only short ones where those are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,16 +546,19 @@ def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callabl
     roots = rooted(classes, labelled).select(F.col("node").alias("label"), "root")
     joined = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
     least = checkpointed(joined.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpointed(joined.join(least, "root").select(*columns, "component_id"))
-    return fps.join(named, list(columns)).select(F.col("id").alias("doc_id"), *columns, "component_id")
+    named = checkpointed(joined.join(least, "root").select(*columns, "component_id", "root"))
+    return fps.join(named, list(columns)).select(F.col("id").alias("doc_id"), *columns, "component_id", *more)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of similar_groups, the one with the least id, all columns kept.
 
-    Of repeated rows of that id one stays; rows with a null id can't be named as copies and stay.
+    Of a group's rows of that id one stays, and rows of one id whose texts are in several groups are told apart by
+    their text; rows with a null id can't be named as copies and stay.
     """
-    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    groups = _similar_rows(docs, id_col, text_col, shingle, similarity)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("one"))
+    kept = kept.select(F.col("one.doc_id").alias("_kept_id"), F.col("one.content").alias("_kept_content")).distinct()
+    named = docs.withColumn("_content", _texts(docs, text_col)[1])
+    named = named.join(kept, (F.col(id_col) == F.col("_kept_id")) & (F.col("_content") == F.col("_kept_content")), "left_semi")
+    return named.dropDuplicates([id_col, "_content"]).drop("_content").unionByName(docs.where(F.col(id_col).isNull()))

@@ -329,6 +329,17 @@ def test_a_dense_key_gives_on_what_a_small_one_would():
     assert set(a.tolist()) <= {x for pair in met for x in pair}
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    words = [[f"{k}{i}" for i in range(60)] for k in "abc"]
+    one, two, three = (" ".join(w) for w in words)
+    rows = [(1, one), (5, one), (5, two), (5, two), (5, three), (6, three), (7, two + " more")]
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string").withColumn("content", F.lit("x"))
+        kept = simhash.drop_near_copies(df)
+        assert kept.columns == ["doc_id", "text", "content"]
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (5, two), (5, three)])
+
+
 def test_short_near_copies_all_go(spark):
     """A word or more appended to short texts: fingerprints miss many of these pairs."""
     r = random.Random(21)
