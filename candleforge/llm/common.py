@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -16,19 +18,41 @@ CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one is made for this
+    application if all runs in one JVM, as in tests; on a cluster a folder of one machine would not do, so it raises."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder(conf.get("spark.app.id", ""))
+
+
+@cache
+def _own_folder(app: str) -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as on a single machine, a
-    local one is made."""
+    """This application's folder below shared_root(), for what need not outlive it."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return context.getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write df to the shared folder and go on from there.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's estimate is the product of its sides':
+    after some rounds that is a number of millions of digits. So the rows are taken up as a table of unknown size.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +62,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in whatever file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table made by written(), once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts add up to about `limit` bytes; a longer text is alone."""
     start = size = 0
@@ -120,32 +158,3 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _unite(label, a, b)
     moved = label != np.arange(len(names))
     return names[moved], names[label[moved]]
-
-
-def nearest_links(u: np.ndarray, v: np.ndarray, d: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those links (u, v, distance d) that make up so many successive least spanning forests, each of what the ones
-    before left over. At most that many rows per node stay, and every link does where no more than that many lead
-    from one part to another."""
-    if not len(u):
-        return u, v, d
-    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = np.minimum(flat[: len(u)], flat[len(u) :]), np.maximum(flat[: len(u)], flat[len(u) :])
-    _, once = np.unique(a * len(names) + b, return_index=True)
-    once = once[np.argsort(d[once], kind="stable")]
-    a, b, d = a[once], b[once], d[once]
-    taken = np.zeros(len(a), dtype=bool)
-    for _ in range(forests):
-        left = np.flatnonzero(~taken)
-        label = np.arange(len(names))
-        while len(left):
-            la, lb = label[a[left]], label[b[left]]
-            left = left[la != lb]
-            if not len(left):
-                break
-            first = np.full(len(names), len(a))
-            np.minimum.at(first, label[a[left]], left)
-            np.minimum.at(first, label[b[left]], left)
-            pick = np.unique(first[first < len(a)])
-            taken[pick] = True
-            _unite(label, a[pick], b[pick])
-    return names[a[taken]], names[b[taken]], d[taken]

@@ -1,16 +1,48 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by local forests and alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import checkpointed
+from candleforge.llm.common import checkpointed, forest
+
+#: Links of a task that are contracted together.
+TOGETHER = 1 << 18
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """(u, v) stars that connect what the links (u, v) connect, made within each task, a bounded number at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            nodes, roots = forest(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["u", "v"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("u", "v")))
+            n += batch.num_rows
+            if n >= TOGETHER:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set that does not depend on row order."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root at most and no root has another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    seen = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return not seen.agg(F.max((F.col("child") + F.col("parent") > 1).cast("int")).alias("m")).first().m
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +54,9 @@ def components(links: DataFrame) -> DataFrame:
     before they are joined back: both sides of the join are then shuffled for it alone, so that adaptive execution
     may split the rows of such a node. Lost executors cost at most a part of a round.
     """
-    edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = checkpointed(edges)
-    mark = _mark(edges)
-    while mark[0]:
+    edges = contracted(links.where(F.col("u") != F.col("v")))
+    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _are_stars(edges):
         # large star: the greater neighbours of x link to the least node around x
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -34,8 +65,5 @@ def components(links: DataFrame) -> DataFrame:
         low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,28 +1,32 @@
 """SimHash near-duplicates, found by Golay-code fuzzy hashing.
 
 A 64-bit fingerprint is cut into four 16-bit segments, each read as a 23-bit word of the perfect binary Golay
-code (seven high bits zero). Every word is within 3 bits of one codeword, its *decoding*, and two words that
-differ in at most 1 bit are such that the decoding of one is within 4 bits of the other. So a segment has one
-probe key (its decoding) and one to six index keys (codewords within 4 bits), and words one error apart share a
-key. With at most 4 errors over 4 segments, pigeonhole leaves two cases:
+code (seven high bits zero). Every word is within 3 bits of one codeword, its *decoding*, and has a *list* of one to
+six codewords within 4 bits, the decoding among them. Words one error apart share a codeword of their lists: the
+decoding of one is within 4 bits of the other. With at most 4 errors over 4 segments, pigeonhole leaves two cases:
 
-- each segment has exactly 1 error: segments 0 and 1 share a key each;
+- each segment has exactly 1 error: segments 0 and 1 share a codeword each;
 - some segment i has none: then for one of the eight pairs (i, j) below, i agrees exactly and j has at most 1
   error. One clean segment leaves errors (1, 1, 1) or (1, 1, 2) on the others, and two j per i avoid the 2; two
   clean segments are one of the six unordered pairs, all of which occur.
 
-A fingerprint thus makes 9 probe and about 70 index rows, keys being 24 or 28 bits wide. Rows meet per key,
-every met pair is verified by its true distance, and a key gives on only a spanning forest of its verified
-links, never all pairs. A key with many probes is split into blocks; each index row goes to every block.
+A fingerprint thus makes about 70 rows, keys being 24 or 28 bits wide. All rows of a key meet, every pair is verified by
+its true distance, and a key gives on only a spanning forest of its verified links, never all pairs.
+
+A key with more than `BLOCK` rows is split into parts, and at first only neighbouring parts meet, so that work stays in
+proportion to the rows. Links found so far are contracted; a split key whose rows are not one component by then is
+compared in full, cell by cell, what lies outside its largest component against everything in it. So a large group of
+copies costs little more than one pass, and nothing is dropped.
 
 Four bits of 64 are far less than what copies of similarity 0.8 differ in. For those, `similar_groups` takes wide
 fingerprints: 256 bits of the distinct five-word shingles, whose share of differing bits estimates the similarity
-with a standard error of about 0.03. A key names the decoding of one segment and a codeword near the next one, so
-each of the 16 segment pairs makes one probe and one to six index rows. Pigeonhole can't cover that many errors: a
-pair shares a key with odds of 0.85 at similarity 0.8, 0.93 at 0.85, 0.98 at 0.9 and 0.999 at 0.95 (the tests
-measure them). Rows that meet are candidates up to three standard errors beyond the expected distance, and a
-candidate is a link only if the shingle sets themselves are that similar. A key gives on the candidates of a few
-least spanning forests; each fingerprint's nearest is confirmed first, then those between parts not yet connected.
+with a standard error of about 0.03. A key names the decoding of one segment and a codeword of the next one's list, so
+each of the 16 segment pairs makes one to six rows. Pigeonhole can't cover that many errors: a pair shares a key with
+odds of 0.94 at similarity 0.8, 0.98 at 0.85 and 0.995 at 0.9 (the tests measure them, on edited texts too). Rows that
+meet are candidates up to three standard errors beyond the expected distance, and a candidate is a link only if the
+shingle sets themselves are that similar. A key gives on the least spanning forest of its candidates; what it holds
+back is compared after contraction, as above. So the links are exactly the pairs that share a key, are within that
+distance and are that similar, however rows are dealt and batched.
 """
 
 from __future__ import annotations
@@ -32,24 +36,27 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, forest, mix, nearest_links, written
+from candleforge.llm.common import binaries, checkpointed, mix, written
 from candleforge.llm.components import components
 
 SHINGLE = 4
 MAX_BITS = 4
 #: Words of a wide fingerprint, 64 bits each, and their columns.
 WIDE = ("a", "b", "c", "d")
-#: Least spanning forests of candidates that a key gives on.
-FORESTS = 4
 #: Distinct shingles up to which texts are joined exactly, and rows of one of their keys that are compared in one cell.
 SHORT, CELL = 40, 512
-#: Probes of one key that are held in memory together; keys with more are split into blocks.
+#: Rows of one key that meet at once; keys with more are split.
 BLOCK = 2048
+#: Rows of a key up to which every verified pair is given on: no more than two for each row.
+FEW = 5
+#: Pairs of fingerprints compared at once.
+PAIRS = 1 << 18
 #: Split keys, or classes with candidates (16 bytes each), that are broadcast; more are joined.
 BROADCAST_KEYS = 100_000
 
@@ -160,56 +167,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "id long, fp long")
 
 
-def keys_of(fps: np.ndarray, sides: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) rows; a key's lowest bit is 0 for a probe and 1 for an index row, the rest names a bucket."""
+def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): the keys of fingerprints (n by words), and whose they are."""
     decoding, within = golay()
-    seg = [((fps.view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
+    seg = [((fps[:, w].view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for w in range(fps.shape[1]) for i in range(4)]
     keys, own = [], []
 
-    def add(kind: int, exact: np.ndarray, index: np.ndarray, side: int, who: np.ndarray) -> None:
-        keys.append(((((np.int64(kind) << 16) | exact) << 12 | index) << 1) | side)
-        own.append(who)
+    def add(kind: int, exact: np.ndarray, lists: np.ndarray) -> None:
+        row, col = np.nonzero((exact >= 0) & (lists >= 0))
+        keys.append((np.int64(kind) << 32) | np.broadcast_to(exact, lists.shape)[row, col] << 12 | lists[row, col])
+        own.append(row)
 
-    for side in sides:
+    if len(seg) > 4:
+        for i, word in enumerate(seg):
+            add(i, decoding[word][:, None], within[seg[(i + 1) % len(seg)]])
+    else:
         for kind, (i, j) in enumerate(_PAIRS):
-            options = decoding[seg[j]][:, None] if side == 0 else within[seg[j]]
-            row, col = np.nonzero(options >= 0)
-            add(kind, seg[i][row], options[row, col], side, fps[row])
-        first = decoding[seg[0]][:, None] if side == 0 else within[seg[0]]
-        second = decoding[seg[1]][:, None] if side == 0 else within[seg[1]]
-        both = np.where((first[:, :, None] >= 0) & (second[:, None, :] >= 0), first[:, :, None] << 12 | second[:, None, :], -1).reshape(len(fps), -1)
-        row, col = np.nonzero(both >= 0)
-        add(len(_PAIRS), both[row, col] >> 12, both[row, col] & 0xFFF, side, fps[row])
+            add(kind, seg[i][:, None], within[seg[j]])
+        second = within[seg[1]]
+        add(len(_PAIRS), np.repeat(within[seg[0]], second.shape[1], axis=1), np.tile(second, (1, second.shape[1])))
     return np.concatenate(keys), np.concatenate(own)
 
 
-def wide_keys_of(fps: np.ndarray, sides: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
-    """The same of wide fingerprints (n by words): a bucket is the decoding of one segment and a codeword of the next."""
-    decoding, within = golay()
-    seg = [((fps[:, w].view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for w in range(fps.shape[1]) for i in range(4)]
-    keys, own = [], []
-    for side in sides:
-        for i, word in enumerate(seg):
-            following = seg[(i + 1) % len(seg)]
-            options = decoding[following][:, None] if side == 0 else within[following]
-            row, col = np.nonzero(options >= 0)
-            keys.append((((np.int64(i) << 12 | decoding[word][row]) << 12 | options[row, col]) << 1) | side)
-            own.append(row)
-    return np.concatenate(keys), fps[np.concatenate(own)]
-
-
 def _matrix(batch: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
 
 
-def _key_rows(distinct: DataFrame, sides: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
+def _key_rows(distinct: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = _matrix(batch, columns)
             for at in range(0, len(fps), 4096):
                 part = fps[at : at + 4096]
-                k, f = wide_keys_of(part, sides) if len(columns) > 1 else keys_of(part[:, 0], sides)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c) for c in f.reshape(len(k), -1).T)], names=["k", *columns])
+                key, row = keys_of(part)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in part[row].T)], names=["k", *columns])
 
     return distinct.select(*columns).mapInArrow(run, "k long, " + ", ".join(f"{c} long" for c in columns))
 
@@ -222,163 +213,231 @@ def labels(fps: np.ndarray) -> np.ndarray:
     return (out if fps.shape[1] == 1 else mix(out)).view(np.int64)
 
 
-def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((left ^ right).view(np.uint64)).sum(-1, dtype=np.int64)
-
+def _labelled(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """df with the label of its fingerprint."""
 
-def _verified(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    d = _apart(left, right)
-    ok = (d > 0) & (d <= bits)
-    return labels(np.ascontiguousarray(left[ok])), labels(np.ascontiguousarray(right[ok])), d[ok]
-
-
-def _spanning(u: np.ndarray, v: np.ndarray, d: np.ndarray, wide: bool) -> tuple[np.ndarray, ...]:
-    """What a key gives on: any forest of narrow links, which are final; the nearest candidates of wide ones."""
-    return nearest_links(u, v, d, FORESTS) if wide else forest(u, v)
-
-
-def _searched(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of all links in fp by breadth-first search: what is reached is compared no more, so a dense
-    group costs little more than one pass."""
-    name = labels(fp)
-    rest = np.arange(len(fp))
-    us, vs, ds = [], [], []
-    while len(rest):
-        waiting, rest = [rest[0]], rest[1:]
-        while waiting and len(rest):
-            i = waiting.pop()
-            d = _apart(fp[i], fp[rest])
-            near = d <= bits
-            if near.any():
-                new = rest[near]
-                linked = new[d[near] > 0]
-                us.append(np.full(len(linked), name[i]))
-                vs.append(name[linked])
-                ds.append(d[near][d[near] > 0])
-                waiting.extend(new.tolist())
-                rest = rest[~near]
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs]), np.concatenate([none, *ds])
-
-
-def _compared(probe: np.ndarray, index: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest candidates of all pairs of probe and index rows, compared in blocks of at most `most` pairs. A least
-    forest of a part holds every link of the whole one that lies in the part, so the outcome is that of one block."""
-    probe, index = np.unique(probe, axis=0), np.unique(index, axis=0)
-    names = labels(probe), labels(index)
-    high = max(1, min(len(probe), int(most**0.5)))
-    broad = max(1, most // high)
-    none = np.zeros(0, dtype=np.int64)
-    kept = none, none, none
-    for at in range(0, len(probe), high):
-        for to in range(0, len(index), broad):
-            p, q = probe[at : at + high], index[to : to + broad]
-            d = sum(np.bitwise_count((p[:, None, w] ^ q[None, :, w]).view(np.uint64)).astype(np.uint16) for w in range(probe.shape[1]))
-            i, j = np.nonzero((d > 0) & (d <= bits))
-            found = names[0][at + i], names[1][to + j], d[i, j].astype(np.int64)
-            kept = nearest_links(*(np.concatenate(x) for x in zip(kept, found)), FORESTS)
-    return kept
-
-
-def _meet(group: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, ...]]:
-    """Spanning links of whole groups; rows are sorted by group, probes first."""
-    wide = fp.shape[1] > 1
-    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
-    end = np.r_[edge[1:], len(group)]
-    probes = np.add.reduceat(side == 0, edge) if len(edge) else edge
-    index = end - edge - probes
-    wanted = probes * index > 1  # a fingerprint always meets itself
-    edge, probes, index = edge[wanted], probes[wanted], index[wanted]
-    pairs = probes * index
-    most //= fp.shape[1]
-    done = 0
-    while done < len(edge):
-        upto = max(done + 1, int(np.searchsorted(np.cumsum(pairs[done:]), most, side="right")) + done)
-        s, p, q, n = edge[done:upto], probes[done:upto], index[done:upto], pairs[done:upto]
-        done = upto
-        if len(s) == 1 and n[0] > most:
-            at, to = s[0] + p[0], s[0] + p[0] + q[0]
-            yield _compared(fp[s[0] : at], fp[at:to], bits, most) if wide else forest(*_searched(np.unique(fp[s[0] : to], axis=0), bits)[:2])
-            continue
-        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat(q, n)
-        start = np.repeat(s, n)
-        left = fp[start + off // width]
-        right = fp[start + np.repeat(p, n) + off % width]
-        yield _spanning(*_verified(left, right, bits), wide)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels(_matrix(batch, columns)))], names=[*batch.schema.names, "label"])
 
+    return df.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in df.schema) + ", label long")
 
-def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """(u, v) links, by `labels`, of fingerprints that differ in at most `bits` bits.
 
-    distinct: one row per fingerprint. One column of 64 bits: bits may be 0 to 4, and the links connect exactly what
-    all such links connect. The columns WIDE: any bits; (u, v, distance) candidates among fingerprints that share a
-    key, the nearest FORESTS spanning forests per key.
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of rows; words are the last axis, the others broadcast."""
+    return sum(np.bitwise_count((left[..., w] ^ right[..., w]).view(np.uint64)).astype(np.uint16) for w in range(left.shape[-1]))
+
+
+def spanned(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For groups of equal size (groups by rows by words): the least spanning forest of the pairs within `bits`, as
+    (group, row, row, distance), and for each group how many such pairs there are. Prim's algorithm, all groups in step."""
+    g, n, _ = fps.shape
+    far, every = np.uint16(0xFFFF), np.arange(g)
+    least, parent, out = np.full((g, n), far), np.zeros((g, n), dtype=np.int64), np.zeros((g, n), dtype=bool)
+    pick, pairs = np.zeros(g, dtype=np.int64), np.zeros(g, dtype=np.int64)
+    found = []
+    for step in range(n):
+        if step:
+            pick = np.where(out, far, least).argmin(axis=1)
+            unreached = out[every, pick]  # all others are beyond `bits`: begin a new tree
+            pick = np.where(unreached, out.argmin(axis=1), pick)
+            d = least[every, pick]
+            linked = np.flatnonzero(~unreached & (d < far))
+            found.append((linked, parent[linked, pick[linked]], pick[linked], d[linked].astype(np.int64)))
+        out[every, pick] = True
+        d = _apart(fps[every, pick][:, None], fps)
+        d = np.where((d <= bits) & ~out, d, far)
+        pairs += (d < far).sum(axis=1)
+        nearer = d < least
+        least[nearer] = d[nearer]
+        parent = np.where(nearer, pick[:, None], parent)
+    if not found:
+        found = [(every[:0],) * 4]
+    return *(np.concatenate(x) for x in zip(*found)), pairs
+
+
+def _meet(key: np.ndarray, edge: np.ndarray, fp: np.ndarray, bits: int, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, ...]]:
+    """(u, v, distance, key) of whole groups, rows edge[i] to edge[i + 1] each: all verified pairs of small groups, and
+    the least spanning forest of others. The key is given, else -1, where pairs are held back."""
+    start, size = edge[:-1], np.diff(edge)
+    for n in np.unique(size[size > 1]).tolist():
+        same = start[size == n]
+        step = max(1, pairs // (n * n))
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            if n <= FEW:
+                i, j = np.triu_indices(n, 1)
+                left, right = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                d = _apart(fp[left], fp[right])
+                ok = d <= bits
+                left, right, d, held = left[ok], right[ok], d[ok].astype(np.int64), np.full(ok.sum(), -1)
+            else:
+                group, i, j, d, total = spanned(fp[some[:, None] + np.arange(n)], bits)
+                left, right = some[group] + i, some[group] + j
+                held = np.where(total[group] > np.bincount(group, minlength=len(some))[group], key[some][group], -1)
+            if len(left):
+                yield labels(fp[left]), labels(fp[right]), d, held
+
+
+def _column(df_key: str, parts: str) -> F.Column:
+    return F.pmod(F.xxhash64(df_key), F.col(parts)).cast("int")
+
+
+def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns: tuple[str, ...] = ("fp",)) -> tuple[DataFrame, DataFrame]:
+    """(found, split) for one row per fingerprint, checkpointed.
+
+    found: (u, v, distance, bucket) links, by `labels`, of fingerprints that share a key and differ in at most `bits`
+    bits. For one column of 64 bits, 0 to 4, all such pairs share a key. bucket names a key that held back pairs among
+    its rows in found, else it is null. split: (bucket, label) of all rows of keys that were split, whose parts have not
+    all met; `rest` compares what remains of either.
     """
     if len(columns) == 1 and not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
-    bucket = F.shiftright("k", 1)
-    hot = _key_rows(distinct, (0,), columns).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > block)
-    hot = checkpointed(hot.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = _key_rows(distinct, (0, 1), columns)
+    rows = _key_rows(distinct, columns)
+    hot = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = checkpointed(hot.select("k", F.ceil(F.col("n") / (block / 2)).cast("int").alias("parts")))
     n_hot = hot.count()
+    split = distinct.sparkSession.createDataFrame([], "bucket long, label long")
     if n_hot:
         side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-        split = rows.withColumn("bucket", bucket).join(side, "bucket", "left")
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        mine = F.array(F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int"))
-        part = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("k") % 2 == 0, mine).otherwise(every)
-        rows = split.select("k", *columns, F.explode(part).alias("block"))
+        split = checkpointed(_labelled(rows.join(side, "k"), columns).select(F.col("k").alias("bucket"), "label"))
+        mine = F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int")
+        cells = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.array(mine, F.pmod(mine + 1, F.col("parts"))))
+        rows = rows.join(side, "k", "left").select("k", *columns, F.explode(cells).alias("cell"))
     else:
-        rows = rows.withColumn("block", F.lit(0))
+        rows = rows.withColumn("cell", F.lit(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2 + len(columns)), dtype=np.int64)
+
+        def out(rows: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.r_[0, change, len(rows)] if len(rows) else np.zeros(1, dtype=np.int64)
+            for u, v, d, key in _meet(rows[:, 0], edge, np.ascontiguousarray(rows[:, 2:]), bits):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), pa.array(key, mask=key < 0)], names=["u", "v", "distance", "bucket"])
 
-    names = ["u", "v", "distance"][: 2 + (len(columns) > 1)]
+        for batch in batches:
+            held = np.concatenate([held, _matrix(batch, ("k", "cell", *columns))])
+            change = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1)) + 1
+            if len(change):  # the last group, at most about `block` rows, may go on
+                yield from out(held[: change[-1]], change[:-1])
+                held = held[change[-1] :]
+        yield from out(held, np.zeros(0, dtype=np.int64))
+
+    dealt = rows.repartition("k", "cell").sortWithinPartitions("k", "cell", *columns)  # keys with the same rows choose the same links
+    return checkpointed(dealt.mapInArrow(run, "u long, v long, distance long, bucket long")), split
+
+
+def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame | None:
+    """(bucket, x, y, label, root, left): what is left to compare of keys that held back pairs, None if nothing is.
+
+    Rows of a key that is one component by roots (node, root) go. Of the others, those outside the largest component
+    (left) meet all rows, in cells of at most about twice `cell` rows.
+    """
+    listed = found.where(F.col("bucket").isNotNull()).select("bucket", "u", "v")
+    of = lambda df, end, root: df.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+    ends = of(of(listed, "u", "ru"), "v", "rv").select("bucket", F.least("ru", "rv").alias("lo"), F.greatest("ru", "rv").alias("hi"))
+    alone = of(split, "label", "root").select("bucket", F.col("root").alias("lo"), F.col("root").alias("hi"))
+    several = ends.unionByName(alone).groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    several = checkpointed(several.select("bucket"))
+    if several.isEmpty():
+        return None
+    members = listed.join(several, "bucket").select("bucket", F.explode(F.array("u", "v")).alias("label")).unionByName(split.join(several, "bucket").select("bucket", "label"))
+    members = checkpointed(of(members.distinct(), "label", "root"))
+    sizes = members.join(several, "bucket").groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    parts = lambda n: F.ceil(n / cell).cast("int")
+    facts = checkpointed(facts.select("bucket", "main", parts(F.col("n") - F.col("most")).alias("xs"), parts(F.col("n")).alias("ys")))
+    rows = members.join(facts, "bucket")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = rows.where(F.col("root") != F.col("main")).withColumn("x", _column("label", "xs")).withColumn("y", every("ys")).withColumn("left", F.lit(True))
+    other = rows.withColumn("y", _column("label", "ys")).withColumn("x", every("xs")).withColumn("left", F.lit(False))
+    columns = ["bucket", "x", "y", "label", "root", "left"]
+    return one.select(*columns).unionByName(other.select(*columns))
+
+
+def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: float | None = None) -> DataFrame:
+    """(u, v) links that connect what all links within the cells connect beyond their roots. Cells hold the fingerprints'
+    columns too and, if a similarity is asked for, the shingle hashes."""
+
+    def compared(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        own, other = rows[rows["left"]], rows[~rows["left"]]
+        if not len(own) or not len(other):
+            return
+        a, b = (x[list(columns)].to_numpy(dtype=np.int64) for x in (own, other))
+        name, root = ([x[c].to_numpy() for x in (own, other)] for c in ("label", "root"))
+        part: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while r in part:
+                r = part[r]
+            return r
+
+        for at in range(0, len(a), 64):
+            near = (_apart(a[at : at + 64, None], b[None]) <= bits) & (root[0][at : at + 64, None] != root[1][None])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                p, q = find(int(root[0][at + i])), find(int(root[1][j]))
+                if p != q and (similarity is None or alike(own["hashes"].iloc[at + i], other["hashes"].iloc[j], similarity)):
+                    part[max(p, q)] = min(p, q)
+                    yield int(name[0][at + i]), int(name[1][j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = np.zeros(0, dtype=np.int64)
-        blk = np.zeros(0, dtype=np.int64)
-        fp = np.zeros((0, len(columns)), dtype=np.int64)
+        held: pd.DataFrame | None = None
 
-        def out(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=names)
+        def out(rows: pd.DataFrame) -> pa.RecordBatch:
+            pairs = [x for _, group in rows.groupby(["bucket", "x", "y"], sort=False) for x in compared(group)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            key, blk = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in ((key, "k"), (blk, "block")))
-            fp = np.concatenate([fp, _matrix(batch, columns)])
-            if not len(key):
-                continue
-            change = np.flatnonzero((key[1:] >> 1 != key[:-1] >> 1) | (blk[1:] != blk[:-1]))
-            cut = change[-1] + 1 if len(change) else 0
-            group = np.cumsum(np.r_[True, (key[1:] >> 1 != key[:-1] >> 1) | (blk[1:] != blk[:-1])])
-            for found in _meet(group[:cut], key[:cut] & 1, fp[:cut], bits):
-                yield out(found)
-            key, blk, fp = key[cut:], blk[cut:], fp[cut:]
-            if len(key) > 1 << 18:  # a long open group: its probes stay, the index rows so far are done
-                for found in _meet(np.zeros(len(key), dtype=np.int64), key & 1, fp, bits):
-                    yield out(found)
-                probe = key & 1 == 0
-                key, blk, fp = key[probe], blk[probe], fp[probe]
-        if len(key):
-            group = np.cumsum(np.r_[True, (key[1:] >> 1 != key[:-1] >> 1) | (blk[1:] != blk[:-1])])
-            for found in _meet(group, key & 1, fp, bits):
-                yield out(found)
-
-    dealt = rows.repartition(bucket, "block").sortWithinPartitions(bucket, "block", "k")
-    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+            rows = batch.to_pandas()
+            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            last = held[["bucket", "x", "y"]].iloc[-1] if len(held) else None
+            if last is not None:
+                whole = ~(held[["bucket", "x", "y"]] == last).all(axis=1)  # the last cell may go on
+                if whole.any():
+                    yield out(held[whole])
+                    held = held[~whole]
+        if held is not None and len(held):
+            yield out(held)
+
+    dealt = cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return checkpointed(dealt.mapInArrow(run, "u long, v long"))
+
+
+def linked(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """(node, root) of the fingerprints (fp) that have others within `bits`; every such link counts."""
+    found, split = links(distinct, bits, block)
+    roots = components(found)
+    cells = open_cells(found.where("false"), split, roots, cell) if not split.isEmpty() else None  # what other keys hold back is connected
+    if cells is None:
+        return roots
+    roots = checkpointed(roots)
+    more = rest(cells.withColumn("fp", F.col("label")), ("fp",), bits)
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def shingle_sets(docs: DataFrame, text_col: str, classes: DataFrame, shingle: int) -> DataFrame:
-    """(label, hashes binary) of classes (label, content): the sorted distinct shingle hashes of the text so named."""
+    """(label, a, b, c, d, hashes binary) of classes (label, content, a, b, c, d): the sorted distinct shingle hashes of
+    the text so named."""
+    names = ["label", *WIDE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in binaries(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets, type=pa.binary())], names=["label", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, type=pa.binary())], names=[*names, "hashes"])
 
     few = classes.count() <= BROADCAST_KEYS
     named = docs.select(*_texts(docs, text_col)).join(F.broadcast(classes) if few else classes, "content")
-    once = named.groupBy("label").agg(F.first("t").alias("t"))
-    return written(once.mapInArrow(run, "label long, hashes binary"), "shingles")
+    once = named.groupBy(*names).agg(F.first("t").alias("t"))
+    return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes binary"), "shingles")
+
+
+def alike(one: bytes, other: bytes, similarity: float) -> bool:
+    """Whether two sets of sorted distinct shingle hashes have that Jaccard similarity."""
+    a, b = (np.frombuffer(x, dtype="<u8") for x in (one, other))
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -386,11 +445,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("one"), batch.column("other")):
-                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (one, other))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common))
+            keep = [alike(one.as_buffer(), other.as_buffer(), similarity) for one, other in zip(batch.column("one"), batch.column("other"))]
             yield batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
 
     left = pairs.join(sets.select(F.col("label").alias("u"), F.col("hashes").alias("one")), "u")
@@ -494,36 +549,46 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, fp long, component_id) of every row of docs.
 
     component_id is the least id reachable over fingerprints that differ in at most `bits` bits; equal
-    fingerprints are linked. Null and empty texts have fingerprint 0 and are linked like any other. A row with a
-    null id keeps its row; it counts for reachability, never as least id (a group of null ids only has a null
-    component_id). Repeated rows are repeated in the result. An empty table gives an empty result. Other columns
-    of docs are not read.
+    fingerprints are linked. Null and empty texts have fingerprint 0 and are linked like any other; a bit that
+    exactly half of the shingles have is 0. Long texts are read whole, a part at a time. A row with a null id keeps
+    its row; it counts for reachability, never as least id (a group of null ids only has a null component_id).
+    Repeated rows are repeated in the result. An empty table gives an empty result. Other columns of docs are not
+    read, whatever their names.
     """
-    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), lambda classes, _: components(links(classes, bits)))
+    return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), lambda classes, _: linked(classes, bits))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """(doc_id, a, b, c, d long, component_id) of every row of docs, by wide fingerprints.
 
     Links join texts whose sets of lower-cased word shingles have that Jaccard similarity: all of those with at most
     SHORT distinct shingles each, and others among those whose fingerprints share a key and differ in at most
-    `most_bits(similarity)` bits; equal fingerprints are linked unseen. Cases are handled as by simhash_groups.
+    `most_bits(similarity)` bits; equal fingerprints are linked unseen. The result does not depend on partitions,
+    batches, block or cell. A bit that half of the shingles have is 0. Cases are handled as by simhash_groups.
     """
+    return _similar_rows(docs, id_col, text_col, shingle, similarity, block, cell).drop("content", "root")
 
-    return _similar_rows(docs, id_col, text_col, shingle, similarity).drop("content", "root")
 
-
-def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """The same with the content and the group's root of every row."""
 
     def rooted(classes: DataFrame, labelled: DataFrame) -> DataFrame:
         sure = short_links(labelled.select("label", "short"), similarity)
-        found = links(classes, most_bits(similarity), columns=WIDE)
-        found = found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
-        found = checkpointed(found)
-        ends = found.select(F.explode(F.array("u", "v")).alias("label")).distinct()
-        sets = shingle_sets(docs, text_col, checkpointed(classes.select("label", "content").join(ends, "label")), shingle)
-        return confirmed(found, sets, similarity, sure)
+        bits = most_bits(similarity)
+        found, split = links(classes, bits, block, WIDE)
+        candidates = found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
+        candidates = checkpointed(candidates)
+        named = classes.select("label", "content", *WIDE)
+        ends = candidates.select(F.col("u").alias("label")).unionByName(candidates.select(F.col("v").alias("label"))).distinct()
+        sets = shingle_sets(docs, text_col, checkpointed(named.join(ends, "label")), shingle)
+        roots = checkpointed(confirmed(candidates, sets, similarity, sure))
+        cells = open_cells(found, split, roots, cell)
+        if cells is None:
+            return roots
+        cells = checkpointed(cells)
+        sets = shingle_sets(docs, text_col, checkpointed(named.join(cells.select("label").distinct(), "label")), shingle)
+        more = rest(cells.join(sets, "label"), WIDE, bits, similarity)
+        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted, ("content", "root"))
 
@@ -532,18 +597,12 @@ def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callabl
     """(doc_id, columns, component_id, more); rooted makes (node, root) of the classes (columns, least, content, label) and of
     the fingerprinted rows with their label, only short ones where those are marked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels(_matrix(batch, columns)))], names=[*batch.schema.names, "label"])
-
     fps = checkpointed(fingerprinted)
     content = "content" if "content" in fps.columns else F.lit(None).cast("long")
-    schema = ", ".join(f"{c} long" for c in (*columns, "least", "content"))
     classes = fps.groupBy(*columns).agg(F.min("id").alias("least"), F.min(content).alias("content"))
-    classes = checkpointed(classes.mapInArrow(run, f"{schema}, label long"))
+    classes = checkpointed(_labelled(classes, columns))
     short = fps.where("short is not null") if "short" in fps.columns else fps
-    labelled = short.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in fps.schema) + ", label long")
-    roots = rooted(classes, labelled).select(F.col("node").alias("label"), "root")
+    roots = rooted(classes, _labelled(short, columns)).select(F.col("node").alias("label"), "root")
     joined = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
     least = checkpointed(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpointed(joined.join(least, "root").select(*columns, "component_id", "root"))
@@ -553,12 +612,15 @@ def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callabl
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of similar_groups, the one with the least id, all columns kept.
 
-    Of a group's rows of that id one stays, and rows of one id whose texts are in several groups are told apart by
-    their text; rows with a null id can't be named as copies and stay.
+    Of a group's rows of that id one stays: of several texts the one with the least hash, of rows that differ elsewhere
+    the one with the least hash of the row, so reruns agree. Rows of one id whose texts are in several groups are told
+    apart by their text; rows with a null id can't be named as copies and stay. Null and empty texts are copies of
+    each other. An empty table gives an empty result; columns may have any names.
     """
     groups = _similar_rows(docs, id_col, text_col, shingle, similarity)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("one"))
-    kept = kept.select(F.col("one.doc_id").alias("_kept_id"), F.col("one.content").alias("_kept_content")).distinct()
-    named = docs.withColumn("_content", _texts(docs, text_col)[1])
-    named = named.join(kept, (F.col(id_col) == F.col("_kept_id")) & (F.col("_content") == F.col("_kept_content")), "left_semi")
-    return named.dropDuplicates([id_col, "_content"]).drop("_content").unionByName(docs.where(F.col(id_col).isNull()))
+    kept = kept.select(F.col("one.doc_id").alias("id"), F.col("one.content").alias("content")).distinct()
+    # the row goes as one struct, so that no column's name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), _texts(docs, text_col)[1])
+    named = rows.join(kept, ["id", "content"], "left_semi").groupBy("id", "content").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return named.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
