@@ -298,3 +298,49 @@ def test_maxscore_skips_work_but_not_rows():
         want = np.lexsort((ids, -s))[:10]
         got = topk.maxscore(rows, ids, q.astype(float), -1)
         assert got[0].tolist() == ids[want].tolist() and got[1].tolist() == s[want].tolist()
+
+
+def test_quality_votes_equal_brute_force(spark):
+    """Every score of the query from the model by plain loops; tied voters all count, whatever their order."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000))  # every text twice, so labelled vectors tie
+    labels = labels.unionByName(labels.withColumns({"doc_id": F.col("doc_id") + 100_000, "quality": 1 - F.col("quality")}))
+    model = quality.fitted(docs, labels)
+    got = {r.doc_id: r.score for r in quality.classify(docs.repartition(5), labels).collect()}
+    usable = [r for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert len(model.labels) == len([r for r in usable if r.doc_id in text])
+    assert len(model.labels) > 60
+    assert model.prior == pytest.approx(np.mean([r.quality for r in usable if r.doc_id in text]))
+    for doc_id, t in text.items():
+        z = model.latent(quality.features([t]))[0].astype(float)
+        cosine = [round(sum(a * b for a, b in zip(z, v.astype(float).tolist())), 5) for v in model.vectors]
+        least = sorted(cosine, reverse=True)[min(len(cosine), quality.VOTERS) - 1]
+        voters = [(max(c, 0.0) ** 8, label) for c, label in zip(cosine, model.labels.tolist()) if c >= least]
+        total = sum(w for w, _ in voters)
+        want = sum(w * label for w, label in voters) / total if total and any(z) else model.prior
+        assert got[doc_id] == pytest.approx(want, abs=0.02)
+    other = quality.fitted(docs.repartition(9), labels.repartition(3))
+    assert np.allclose(other.vectors, model.vectors, atol=1e-4) and (other.labels == model.labels).all()
+
+
+def test_quality_space_is_that_of_the_decomposition():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(rng.random((60, 1)) * rng.random((1, quality.TERMS))).astype(np.float32)
+    model = quality.fit(counts, np.ones(60), dimensions=8)
+    x = quality._weighted(counts, model.idf)
+    values = np.linalg.svd(x, compute_uv=False)
+    got = np.linalg.norm(x @ model.projection, axis=0)
+    assert np.allclose(got, values[:8], rtol=0.02)
+    assert np.allclose(model.projection.T @ model.projection, np.eye(8), atol=1e-4)
+
+
+def test_quality_knows_words():
+    """Texts of one shape that differ in their words only."""
+    r = random.Random(3)
+    good, bad = ["maple", "river", "stone", "cloud"], ["spamy", "clicx", "cheap", "winnn"]
+    texts = [" ".join(r.choice(v) for _ in range(40)).encode() for v in [good, bad] * 40]
+    model = quality.fit(quality.features(texts), np.array([1, 0] * 40))
+    other = [" ".join(r.choice(v) for _ in range(30)).encode() for v in (good, bad)]
+    one, two = model.scores(quality.features(other))
+    assert one > 0.9 and two < 0.1
