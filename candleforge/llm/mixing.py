@@ -1,10 +1,11 @@
 """Mixing sources to token targets by entropy balancing.
 
-Each source s has a token target T_s. Documents get rates r = min(2, exp(lambda_s * z)), the closest in relative
-entropy to one copy each that meets the target, where z = n / (n + mean) tilts by a document's size n. lambda_s is
-the root of the convex dual's gradient, sum(n * r) - T_s, found for all sources at once by Newton steps whose
-gradient and curvature are distributed aggregates, guarded by a bracket. Rates become whole copies by a
-threshold on a hash of the id: the threshold of a source is refined until the copies' words meet its target, to
+Each source s has a token target T_s. Documents get rates r = min(2, exp(lambda_s * z)), where z = n / (n + mean) tilts
+by a document's size n: of all rates up to 2 whose words, sum(n * r), meet the target, those least far from one copy
+each in relative entropy, documents weighing n + mean, so that long ones move more than short ones. lambda_s is the
+root of the convex dual's gradient, sum(n * r) - T_s, found for all sources at once by Newton steps whose gradient and
+curvature are distributed aggregates over the sizes of each source, guarded by a bracket. Rates become whole copies
+by a threshold on a hash of the id: the threshold of a source is refined until the copies' words meet its target, to
 within about one document. Sums are exact (integers and decimals), so reruns agree bit by bit.
 """
 
@@ -103,16 +104,20 @@ def solved(sizes: DataFrame, most: float = MOST) -> tuple[DataFrame, bool]:
     small = sources.count() <= BROADCAST_SOURCES
     names = sources.select("sid", F.col("source").alias("_s"), "source_size", "n_docs")
     base = sizes.join(F.broadcast(names) if small else names, F.col("source").eqNullSafe(F.col("_s")))
-    base = checkpointed(base.select("sid", "size", "lot", _tilt().alias("z")))
+    base = checkpointed(base.select("sid", "size", "lot"))
+    # rates depend on a document's size and source only, so Newton steps add up sizes, not documents
+    sizes_of = checkpointed(base.groupBy("sid", "size").agg(F.count("*").alias("n")))
 
     # the dual, one dimension per source; a target at the cap is met by full rates
     full = F.col("target") >= F.col("source_size") * F.lit(most)
     state = sources.select("sid", "source", "source_size", "n_docs", "target", F.lit(-64.0).alias("lo"), F.lit(256.0).alias("hi"), F.lit(0.0).alias("lam"), full.alias("full"))
     state = checkpointed(state)
     for _ in range(_STEPS):
-        r = _rate(F.col("lam"), F.col("z"), most)
-        open_ = F.when(r < int(most * _ONE), F.round(F.col("z") * r)).otherwise(0).cast("long")
-        sums = _with(base, state.select("sid", "lam", "full"), small).where(~F.col("full")).groupBy("sid").agg(_total(F.col("size").cast("decimal(20,0)") * r).alias("g"), _total(F.col("size").cast("decimal(20,0)") * open_).alias("h"))
+        r = _rate(F.col("lam"), _tilt(), most)
+        open_ = F.when(r < int(most * _ONE), F.round(_tilt() * r)).otherwise(0).cast("long")
+        words = (F.col("size") * F.col("n")).cast("decimal(20,0)")
+        rows = _with(sizes_of, state.select("sid", "source_size", "n_docs", "lam", "full"), small).where(~F.col("full"))
+        sums = rows.groupBy("sid").agg(_total(words * r).alias("g"), _total(words * open_).alias("h"))
         got, slope = F.col("g").cast("double") / _ONE, F.col("h").cast("double") / _ONE
         joined = state.join(sums, "sid", "left").withColumns({"gap": got - F.col("target")})
         lo, hi = F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("lo")), F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("hi"))
@@ -125,7 +130,7 @@ def solved(sizes: DataFrame, most: float = MOST) -> tuple[DataFrame, bool]:
             break
 
     # copies: the whole part of the rate, and one more where the lot falls below the fraction, shifted per source
-    rated = _rated(_with(base.drop("z"), state.select("sid", "source_size", "n_docs", "target", "lam", "full"), small), most)
+    rated = _rated(_with(base, state.select("sid", "source_size", "n_docs", "target", "lam", "full"), small), most)
     rated = checkpointed(rated.select("sid", "size", "target", "whole", "at"))
     need = rated.groupBy("sid").agg((F.first("target") - _total(F.col("size") * F.col("whole")).cast("double")).alias("need"))
     edge = checkpointed(need.withColumn("low", F.lit(0).cast("long")))
@@ -158,7 +163,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     taken = copies * size, never above most * size. Null text has size 0; a null source is a source of its own,
     the last; null ids share one lot; repeated rows take part each, with equal lots; documents of size 0 change no
-    sum and get a copy for a rate of 1. An empty table gives an empty result; other columns are not read.
+    sum and get a copy for a rate of 1. Long texts count whole; documents of one lot that the threshold would part are
+    taken or left together. An empty table gives an empty result; other columns are not read.
     """
     sizes = checkpointed(sized(docs, id_col, text_col, source_col))
     out = _copied(sizes, *solved(sizes, most), most)
@@ -166,8 +172,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies, all columns kept. Rows are not shuffled."""
+    """docs as the mix takes them: each row as often as it has copies, all columns kept, whatever their names.
+
+    Rows are not shuffled. Nulls, empty and long texts, ties and repeated rows are handled as by mix(); an empty table
+    gives an empty result.
+    """
     plan, small = solved(checkpointed(sized(docs, id_col, text_col, source_col)), most)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), *_size_columns(id_col, text_col, source_col))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_size_columns(id_col, text_col, source_col))
     out = _copied(own, plan, small, most).where(F.col("copies") > 0)
     return out.select(F.explode(F.array_repeat(F.lit(0), F.col("copies"))), "_row").select("_row.*")
