@@ -1,14 +1,17 @@
 """Best-fit packing with certified bin counts.
 
 Texts become token pieces of at most one sequence, and pieces are packed by best-fit decreasing, partition by
-partition. Dual-feasible functions give each partition a lower bound on its bins: a partition that meets it is
-certified. What partitions leave open (bins filled less than nearly full) is exchanged: those pieces are pooled
-over fewer partitions and packed again, until one partition holds the pool. So at most one pool, not one bin
-per partition, is left partly empty.
+partition. Dual-feasible functions give each partition a lower bound on its bins: one that meets it is certified, and
+final. Partitions with a gap exchange: the pieces of their open bins (filled less than nearly full) are pooled over
+fewer partitions and packed again, where bounds are computed anew, until all are certified, one partition holds the
+pool, or a round saves no bin. Then the bound of the whole table decides: only if its bins are more than that, what
+certified partitions left open is exchanged as well, as parts of bins may add up to whole ones. Each piece tells
+the gap of the partition that packed it, so what is not certified can be seen.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from candleforge.llm.common import binaries, checkpointed, chunks
 
+log = logging.getLogger(__name__)
+
 LENGTH = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
@@ -185,7 +190,8 @@ class Certificate:
 
 
 def _packed(pool: DataFrame, partitions: int, round_: int, capacity: int) -> DataFrame:
-    """Each partition packs its own pieces; the order in which they arrive does not matter."""
+    """Each partition packs its own pieces; the order in which they arrive does not matter. full: whether the bin is
+    nearly full; gap: the partition's bins beyond its lower bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]  # narrow rows, PARTITION_PIECES to MOST_PIECES on average
@@ -205,36 +211,52 @@ def _packed(pool: DataFrame, partitions: int, round_: int, capacity: int) -> Dat
             "full", pa.array(fill[bins] >= capacity * (1 - NEARLY_FULL))
         ).append_column("gap", pa.array(np.full(n, len(fill) - bound, dtype=np.int64))).combine_chunks().to_batches()
 
-    dealt = pool.repartition(partitions, "doc_id", "piece", "ids_crc32") if partitions > 1 else pool.repartition(1)
+    dealt = pool.repartition(partitions, "doc_id", "piece", "ids_crc32", F.lit(round_)) if partitions > 1 else pool.repartition(1)
     return dealt.mapInArrow(run, PIECE + ", sequence_id long, offset long, full boolean, gap long")
 
 
+def _bins(packed: DataFrame) -> int:
+    return packed.select("sequence_id").distinct().count()
+
+
+def _exchanged(packed: DataFrame, taking: F.Column, partitions: int, round_: int, width: int, capacity: int) -> tuple[DataFrame, int]:
+    """packed with the open bins of the partitions `taking` pooled and packed again, round by round, and the last round."""
+    kept, left = packed.where(~(taking & ~F.col("full"))), packed.where(taking & ~F.col("full"))
+    before, fell = _bins(left), True
+    while before > 1 and partitions > 1:
+        width = min(2 * width, max(width, MOST_PIECES))
+        fewer = max(1, -(-left.count() // width))
+        if fewer >= partitions and not fell:
+            log.warning("packing: %d open bins remain in partitions with a gap; another exchange saves none", before)
+            break
+        partitions, round_ = min(partitions, fewer), round_ + 1
+        again = checkpointed(_packed(left, partitions, round_, capacity))
+        after = _bins(again)
+        fell = after < before
+        if after > before:  # as it was, which is better
+            continue
+        kept = kept.unionByName(again.where(~(taking & ~F.col("full"))))
+        left = again.where(taking & ~F.col("full"))
+        before = _bins(left)
+    return kept.unionByName(left), round_
+
+
 def pack(rows: DataFrame, capacity: int = LENGTH, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with their sequence_id and offset; no sequence holds more
-    than `capacity`. The result does not depend on the order of rows; an empty table gives an empty result."""
+    than `capacity`. gap: bins of the partition that packed the piece beyond the lower bound, 0 if it is certified.
+
+    The result does not depend on the order of rows; pieces of equal length are taken by id, piece and start. Null ids
+    and repeated rows keep their pieces; an empty table gives an empty result; other columns are not read.
+    """
     pool = checkpointed(rows.select("doc_id", "piece", "start", "length", "ids_crc32"))
-    done: list[DataFrame] = []
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    round_, width = 0, partition_pieces
-    partitions = max(1, -(-pool.count() // width))
-    while True:
-        packed = checkpointed(_packed(pool, partitions, round_, capacity))
-        if partitions == 1:
-            done.append(packed.select(*columns))
-            break
-        # open bins are exchanged, those of certified partitions too: their free room may add up to a bin
-        left = packed.where(~F.col("full"))
-        width = max(partition_pieces, min(2 * width, MOST_PIECES))
-        before, partitions = partitions, max(1, -(-left.count() // width))
-        if partitions >= before:  # long pieces that find no partners among millions
-            done.append(packed.select(*columns))
-            break
-        done.append(packed.where("full").select(*columns))
-        pool, round_ = left, round_ + 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    partitions = max(1, -(-pool.count() // partition_pieces))
+    packed = checkpointed(_packed(pool, partitions, 0, capacity))
+    if partitions > 1:
+        packed, round_ = _exchanged(packed, F.col("gap") > 0, partitions, 0, partition_pieces, capacity)
+        proof = certificate(packed, capacity)
+        if proof.bins > proof.bound:
+            packed, _ = _exchanged(packed, F.lit(True), partitions, round_, partition_pieces, capacity)
+    return packed.drop("full")
 
 
 def certificate(packed: DataFrame, capacity: int = LENGTH) -> Certificate:
@@ -254,5 +276,10 @@ def _bound_of(histogram: dict[int, int], capacity: int) -> int:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise and pack every row of docs."""
+    """Tokenise and pack every row of docs: the rows of pack().
+
+    Null text is empty, and an empty text is a piece of its end id; null ids and repeated rows keep their pieces; texts of
+    any length are cut only where they exceed a sequence. An empty table gives an empty result; other columns are not
+    read, whatever their names.
+    """
     return pack(pieces(docs, path, length, id_col, text_col), length)

@@ -174,6 +174,51 @@ def test_packing_edge_cases_and_exchange(spark):
     assert one(df) == one(df.repartition(9))
 
 
+def packed_pieces(spark, lengths):
+    return spark.createDataFrame([(i, 0, 0, n, i * 7919 % 10**9) for i, n in enumerate(lengths)], packing.PIECE)
+
+
+def bins_of(rows):
+    return len({r.sequence_id for r in rows})
+
+
+def test_certified_partitions_stay_and_others_exchange(spark):
+    """Partitions of halves are certified at once; those with odd lengths have gaps, exchange and need fewer bins."""
+    r = random.Random(8)
+    lengths = [r.choice((1024, 1024, 683, 683, 682, 700, 690)) for _ in range(2000)]
+    pool = packed_pieces(spark, lengths)
+    first = {r.doc_id: r for r in packing._packed(pool, 40, 0, 2048).collect()}
+    gaps = {r.sequence_id >> 28: r.gap for r in first.values()}
+    assert 0 in gaps.values() and max(gaps.values()) > 0
+    rest, rounds = packing._exchanged(packing.checkpointed(packing._packed(pool, 40, 0, 2048)), F.col("gap") > 0, 40, 0, 50, 2048)
+    rest = {r.doc_id: r for r in rest.collect()}
+    assert rest.keys() == first.keys() and rounds > 0
+    for i, old in first.items():
+        if old.gap == 0 or old.full:
+            assert (rest[i].sequence_id, rest[i].offset) == (old.sequence_id, old.offset)
+    assert any(rest[i].sequence_id != old.sequence_id for i, old in first.items() if old.gap)
+    assert bins_of(rest.values()) < bins_of(first.values())
+
+
+def test_a_table_that_meets_its_bound_exchanges_nothing(spark):
+    pool = packed_pieces(spark, [1024] * 400)
+    even = packing._packed(pool, 8, 0, 2048).groupBy("sequence_id").count().where("count = 1").count()
+    got = packing.pack(pool, partition_pieces=50).collect()
+    assert {r.gap for r in got} == {0}
+    assert bins_of(got) == 200
+    assert {r.sequence_id >> 52 for r in got} == ({0} if not even else {0, 1})
+
+
+def test_pieces_without_partners_keep_their_gap_visible(spark):
+    """Bounds do not see that these do not fit together, so no exchange can close the gap; it ends, and says so."""
+    lengths = [1000, 500, 549] * 300  # three of which never make a whole sequence
+    got = packing.pack(packed_pieces(spark, lengths), partition_pieces=100).collect()
+    proof = packing.certificate(spark.createDataFrame([(r.sequence_id, r.length) for r in got], "sequence_id long, length long"))
+    assert len(got) == 900 and proof.bins == bins_of(got) >= proof.bound
+    if proof.bins > proof.bound:
+        assert any(r.gap > 0 for r in got)
+
+
 def test_ids_round_trip(spark):
     df = spark.createDataFrame([(1, "Hello world " * 1500), (2, None)], "doc_id long, text string")
     got = sorted(packing.pieces(df, with_ids=True).collect(), key=lambda r: (r.doc_id, r.piece))
