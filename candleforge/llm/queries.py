@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candleforge.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, suffixes, topk
+from candleforge.llm.common import shared_root
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +45,9 @@ def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 40 and its place there."""
-    rows, _ = sharding.shard(_table(spark, sf_dir, "documents"))
+    """Every document's shard of 40 and its place there, by the map stored for this table."""
+    store = f"{shared_root(spark)}/slot-maps/{xxhash.xxh64_hexdigest(sf_dir)}"
+    rows, _ = sharding.shard(_table(spark, sf_dir, "documents"), store=store)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
@@ -59,8 +62,8 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, from a ledger that starts empty."""
-    found = secrets.document_findings(_table(spark, sf_dir, "documents"))
+    """Secrets of every document, from the ledger in the shared folder, to which contents not seen before are added."""
+    found = secrets.document_findings(_table(spark, sf_dir, "documents"), secrets.BlobLedger.shared(spark))
     text = secrets.span_text(F.col("spans"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 

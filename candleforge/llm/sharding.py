@@ -8,11 +8,13 @@ that it moves change place.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candleforge.llm.common import exists
+
 SLOTS = 8192
 SHARDS = 40
 #: Bytes that a record takes beside its text.
@@ -93,6 +95,21 @@ class SlotMap:
         return SlotMap(wanted, found[0][2], tuple(s for _, s, _ in found))
 
 
+    @staticmethod
+    def stored(spark: SparkSession, path: str, slot_bytes: dict[int, int], shards: int = SHARDS, slots: int = SLOTS, tolerance: float = 0.01) -> SlotMap:
+        """The map at path that fits these slots: the newest version if it still does, else that one rebalanced, or the
+        first one, stored as a new version. A map of another number of slots is replaced."""
+        newest = SlotMap.load(spark, path) if exists(spark, path) else None
+        if newest is None or len(newest.shard_of) != slots:
+            chosen = replace(SlotMap.balanced(slot_bytes, shards, slots), version=newest.version + 1 if newest else 1)
+        else:
+            chosen = newest.rebalanced(slot_bytes, shards, tolerance)
+            if chosen.shards == newest.shards and chosen.shard_of == newest.shard_of:
+                return newest
+        chosen.save(spark, path)
+        return chosen
+
+
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
@@ -101,7 +118,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
     """(doc_id, size, text_crc32, virtual_slot); the text goes no further than the scan."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col).cast("long")
-    return docs.select(key.alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(key, slots).alias("virtual_slot"))
+    return docs.select(key.alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.when(key.isNotNull(), slot_of(key, slots)).otherwise(slot_of(text, slots)).alias("virtual_slot"))
 
 
 def slot_facts(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -109,17 +126,22 @@ def slot_facts(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.virtual_slot: (r.b, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
     """(rows, map). rows: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version of every row of docs.
 
     The law is `bytes`: shards are near equal in size, whatever their row counts. `slot` is a row's place in its
     shard, gapless from 0: rows are ranked within their virtual slot, and each virtual slot begins where the ones
-    before it in its shard end, so no task sees more than a virtual slot. Null text has no bytes; null ids share a
-    virtual slot; repeated rows are placed one after another; an empty table gives an empty result and a map.
+    before it in its shard end, so no task sees more than a virtual slot. store: a folder of map versions, which is
+    read and, where the slots no longer fit, given a new version.
+
+    Null text has no bytes; rows with a null id are dealt over the slots by their text, in which copies stay together;
+    long texts count whole; rows are placed by id, size and text, so repeated rows one after another; an empty table
+    gives an empty result and a map; other columns are not read, whatever their names.
     """
     rows = sized(docs, id_col, text_col, slots)
     facts = slot_facts(rows)
-    chosen = slot_map or SlotMap.balanced({k: b for k, (b, _) in facts.items()}, shards, slots)
+    sizes = {k: b for k, (b, _) in facts.items()}
+    chosen = slot_map or (SlotMap.stored(docs.sparkSession, store, sizes, shards, slots) if store else SlotMap.balanced(sizes, shards, slots))
     begin, at = [], [0] * chosen.shards
     for slot, s in enumerate(chosen.shard_of):
         begin.append((slot, s, at[s], chosen.version))

@@ -62,14 +62,53 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     first = spark.createDataFrame([("a", "password=hunter22"), ("b", "clean"), ("c", "password=hunter22")], "path string, text string")
     assert ledger.update(first).count() == 2
     second = first.unionByName(spark.createDataFrame([("d", "token=abcdefg"), ("e", None)], first.schema))
-    assert secrets.unseen_blobs(second.withColumn("blob", secrets.blob_of(F.col("text"))), ledger.read()).count() == 2
-    assert ledger.update(second).count() == 4
-    found, additions = secrets.scan(second, ledger.read())
-    assert additions.count() == 0
-    assert found.count() == 2
-    assert ledger.update(second, "base-2").count() == 8
+    fresh, texts = secrets.unseen_blobs(second.withColumn("blob", secrets.blob_of(F.col("text"))).na.fill(""), ledger.read())
+    assert fresh.count() == texts.count() == 2
+    assert {r.text for r in texts.select("text").collect()} == {"token=abcdefg", ""}
+    assert ledger.update(second).count() == 2
+    assert ledger.update(second).count() == 0
+    assert ledger.update(second, "base-2").count() == 4
+    assert ledger.read().count() == 8
     by_id = second.withColumn("doc_id", F.monotonically_increasing_id())
-    assert sum(r.n_assign for r in secrets.document_findings(by_id, ledger.read()).collect()) == 3
+    assert sum(r.n_assign for r in secrets.document_findings(by_id, ledger).collect()) == 3
+    third = spark.createDataFrame([(1, "password=hunter22"), (2, "secret=abcdefgh"), (3, "clean")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_assign) for r in secrets.document_findings(third, ledger).collect()) == [(1, 1), (2, 1), (3, 0)]
+    assert ledger.read().count() == 9
+    # a batch that was appended twice, as by two runs at once, changes nothing
+    ledger.read().write.mode("append").partitionBy("rule_version").parquet(ledger.path)
+    assert ledger.read().count() == 9
+    assert sorted((r.doc_id, r.n_assign) for r in secrets.document_findings(third, ledger).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+@pytest.mark.parametrize("most", [0, 16 << 20])
+def test_findings_with_and_without_broadcasts(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", most)
+    rows = [(i, t) for i, t in enumerate(TRICKY)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
+    ledger.update(df.limit(7))
+    got = secrets.document_findings(df, ledger).withColumn("s", secrets.span_text(F.col("spans")))
+    assert sorted((r.doc_id, r.s) for r in got.collect()) == sorted((i, slow_spans(t)) for i, t in rows)
+
+
+def test_second_run_of_the_query_scans_nothing(spark):
+    key = lambda df: sorted(map(str, df.collect()))
+    first = key(queries.op9_blob_ledger(spark, SF))
+    ledger = secrets.BlobLedger.shared(spark)
+    held = ledger.read().count()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert secrets.scan(docs, ledger.read()).count() == 0
+    assert key(queries.op9_blob_ledger(spark, SF)) == first
+    assert ledger.read().count() == held >= docs.select("text").distinct().count()
+
+
+def test_redaction_with_clashing_names(spark, tmp_path):
+    names = ["doc_id", "text", "_spans", "_blob", "blob", "spans", "row", "found", "a.b"]
+    df = spark.createDataFrame([(1, "x password=hunter22 y", "s", "b", "c", "d", 5, 6, 7), (2, None, None, None, None, None, None, None, None)], "doc_id long, text string, _spans string, _blob string, blob string, spans string, row int, found int, `a.b` int")
+    out = secrets.redact(df, ledger=secrets.BlobLedger(spark, str(tmp_path / "ledger")))
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == [(1, "x [SECRET] y", "s", "b", "c", "d", 5, 6, 7), (2, None, None, None, None, None, None, None, None)]
+    assert secrets.redact(df.limit(0)).count() == 0
 
 
 def test_redaction(spark):
@@ -134,6 +173,34 @@ def test_slot_maps_are_versioned_and_move_little(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path, 1) == m
 
 
+def test_maps_are_stored_read_back_and_edited(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    df = spark.createDataFrame(documents(spark), DOCS)
+    key = lambda rows: sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in rows.collect())
+    rows, first = sharding.shard(df, store=path)
+    again, same = sharding.shard(df.repartition(3), store=path)
+    assert (first.version, same) == (1, first) and key(rows) == key(again)
+    more = df.unionByName(spark.createDataFrame([(10**6 + i, "much more text " * 400, "en", "a", 0) for i in range(300)], DOCS))
+    grown, second = sharding.shard(more, store=path)
+    assert second.version == 2 and sharding.SlotMap.load(spark, path) == second and sharding.SlotMap.load(spark, path, 1) == first
+    loads = Counter()
+    for r in grown.collect():
+        loads[r.shard] += r.size
+    assert max(loads.values()) <= max(10**5 + 16, sum(loads.values()) / 40 * 1.02)
+    kept = sum(a == b for a, b in zip(first.shard_of, second.shard_of))
+    assert kept > sharding.SLOTS / 2
+    _, wider = sharding.shard(more, 41, store=path)
+    assert (wider.version, wider.shards) == (3, 41)
+    _, other = sharding.shard(more, slots=64, store=path)
+    assert (other.version, len(other.shard_of)) == (4, 64)
+
+
+def test_rows_without_an_id_are_dealt_by_their_text(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows, _ = sharding.shard(df)
+    assert rows.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] < 20
+
+
 def slow_targets(size):
     names = sorted((s for s in size if s is not None)) + [s for s in size if s is None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
