@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, chunks
+from candleforge.llm.common import binaries, checkpointed, chunks, portions
 
 log = logging.getLogger(__name__)
 
@@ -36,8 +36,8 @@ VOCABULARY = "word_bpe_49k.json"
 PARTITION_PIECES, MOST_PIECES = 1 << 16, 1 << 20
 #: Bins with at most this share of their length free are not opened again.
 NEARLY_FULL = 0.01
-#: Distinct words whose ids a process remembers before it begins anew.
-CACHE_WORDS = 1_000_000
+#: Distinct words after which a process keeps only what it has met since; it remembers up to twice as many.
+CACHE_WORDS = 300_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,6 +67,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}  # what was known when the cache was last full
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,12 +87,16 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, without an end id."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self._before = {}, self.known
         whole = [i for i, t in enumerate(texts) if self._WHOLE.search(t)]
         split = [t.encode().lower().decode().split() for t in texts]
         for i in whole:
             split[i] = []
         unknown = set().union(*split).difference(self.known)
+        if unknown and self._before:
+            met = unknown & self._before.keys()
+            self.known.update((w, self._before[w]) for w in met)
+            unknown -= met
         if unknown:
             self._learn(unknown)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype="<u4") for ws in split]
@@ -117,7 +122,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(where)
         end = np.array([END_ID], dtype="<u4")
-        for batch in batches:
+        for batch in portions(batches, 2048):
             keys, texts = batch.column("id").to_pylist(), binaries(batch.column("t"))
             for a, b in chunks(texts):
                 rows: list[tuple] = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, chunks
+from candleforge.llm.common import binaries, portions
 
 #: Bounds of the fit: labelled documents taken (those with the least hash of their id), latent dimensions, voters.
 SAMPLE = 4000
@@ -35,6 +35,9 @@ DECIMALS = 5
 #: Held out of the fit: crc32(id as text) mod FOLDS = HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 
+#: Texts whose terms are held at once.
+PORTION = 128
+
 _BINS = 2048
 _REPEATS = 24
 _SHAPES = _BINS + _REPEATS
@@ -173,14 +176,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = binaries(batch.column("text"))
-            for a, b in chunks(texts):
-                for i in range(a, b, 512):
-                    rows = features(texts[i : min(i + 512, b)])
-                    held = [np.flatnonzero(r).astype(np.uint16) for r in rows]
-                    columns = [pa.array([t.tobytes() for t in held], pa.binary()), pa.array([r[t].tobytes() for r, t in zip(rows, held)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, len(rows)) for c in ("key", "label", "version")), *columns], names=["key", "label", "version", "terms", "counts"])
+        for batch in portions(batches, PORTION):
+            rows = features(binaries(batch.column("text")))
+            held = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+            columns = [pa.array([t.tobytes() for t in held], pa.binary()), pa.array([r[t].tobytes() for r, t in zip(rows, held)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "label", "version")), *columns], names=["key", "label", "version", "terms", "counts"])
 
     key = F.col(id_col).cast("long")
     usable = labels.select(key.alias("key"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
@@ -217,10 +217,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            texts = binaries(batch.column("t"))
-            scores = [m.scores(features(texts[i : min(i + 512, b)])) for a, b in chunks(texts) for i in range(a, b, 512)]
-            values = np.concatenate(scores) if scores else np.zeros(0)
+        for batch in portions(batches, PORTION):
+            values = m.scores(features(binaries(batch.column("t"))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values)], names=["doc_id", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -250,10 +248,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in portions(batches, PORTION):
             texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
-            scores = [m.scores(features(texts[i : min(i + 512, b)])) for a, b in chunks(texts) for i in range(a, b, 512)]
-            keep = np.concatenate(scores) >= 0.5 if scores else np.zeros(0, dtype=bool)
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(m.scores(features(texts)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,13 +36,12 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, mix, written
+from candleforge.llm.common import binaries, checkpointed, mix, portions, written
 from candleforge.llm.components import components
 
 SHINGLE = 4
@@ -145,7 +144,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
     holds the sorted distinct shingle hashes where there are 1 to SHORT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             own = [np.unique(shingle_hashes(t, shingle)) for t in binaries(batch.column("t"))]
             fps = np.array([wide(x) for x in own], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
             short = pa.array([x.tobytes() if 0 < len(x) <= SHORT else None for x in own], type=pa.binary())
@@ -159,7 +158,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) of every row; null text is empty. The long holds the 64 bits, signed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             fps = np.array([fingerprint(t, shingle) for t in binaries(batch.column("t"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], names=["id", "fp"])
 
@@ -359,12 +358,14 @@ def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: floa
     """(u, v) links that connect what all links within the cells connect beyond their roots. Cells hold the fingerprints'
     columns too and, if a similarity is asked for, the shingle hashes."""
 
-    def compared(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
-        own, other = rows[rows["left"]], rows[~rows["left"]]
-        if not len(own) or not len(other):
-            return
-        a, b = (x[list(columns)].to_numpy(dtype=np.int64) for x in (own, other))
-        name, root = ([x[c].to_numpy() for x in (own, other)] for c in ("label", "root"))
+    names = ["label", "root", "left", *columns, *(["hashes"] if similarity is not None else [])]
+
+    def compared(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        left = rows.column("left").to_numpy()
+        fps = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)
+        name, root = rows.column("label").to_numpy(), rows.column("root").to_numpy()
+        sets = rows.column("hashes") if similarity is not None else None
+        own, other = np.flatnonzero(left), np.flatnonzero(~left)
         part: dict[int, int] = {}
 
         def find(r: int) -> int:
@@ -372,32 +373,37 @@ def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: floa
                 r = part[r]
             return r
 
-        for at in range(0, len(a), 64):
-            near = (_apart(a[at : at + 64, None], b[None]) <= bits) & (root[0][at : at + 64, None] != root[1][None])
+        for at in range(0, len(own), 64):
+            some = own[at : at + 64]
+            near = (_apart(fps[some][:, None], fps[other][None]) <= bits) & (root[some][:, None] != root[other][None])
             for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                p, q = find(int(root[0][at + i])), find(int(root[1][j]))
-                if p != q and (similarity is None or alike(own["hashes"].iloc[at + i], other["hashes"].iloc[j], similarity)):
+                i, j = int(some[i]), int(other[j])
+                p, q = find(int(root[i])), find(int(root[j]))
+                if p != q and (sets is None or alike(sets[i].values.to_numpy(), sets[j].values.to_numpy(), similarity)):
                     part[max(p, q)] = min(p, q)
-                    yield int(name[0][at + i]), int(name[1][j])
+                    yield int(name[i]), int(name[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.DataFrame | None = None
+        held: list[pa.Table] = []
 
-        def out(rows: pd.DataFrame) -> pa.RecordBatch:
-            pairs = [x for _, group in rows.groupby(["bucket", "x", "y"], sort=False) for x in compared(group)]
+        def out() -> pa.RecordBatch:
+            pairs = list(compared(pa.concat_tables(held)))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
+        now = None
         for batch in batches:
-            rows = batch.to_pandas()
-            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            last = held[["bucket", "x", "y"]].iloc[-1] if len(held) else None
-            if last is not None:
-                whole = ~(held[["bucket", "x", "y"]] == last).all(axis=1)  # the last cell may go on
-                if whole.any():
-                    yield out(held[whole])
-                    held = held[~whole]
-        if held is not None and len(held):
-            yield out(held)
+            keys = _matrix(batch, ("bucket", "x", "y"))
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(keys)]):
+                if a == b:
+                    continue
+                if now is not None and (keys[a] != now).any():
+                    yield out()
+                    held = []
+                now = keys[a]
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]).select(names))
+        if held:
+            yield out()
 
     dealt = cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return checkpointed(dealt.mapInArrow(run, "u long, v long"))
@@ -416,40 +422,34 @@ def linked(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, cell:
 
 
 def shingle_sets(docs: DataFrame, text_col: str, classes: DataFrame, shingle: int) -> DataFrame:
-    """(label, a, b, c, d, hashes binary) of classes (label, content, a, b, c, d): the sorted distinct shingle hashes of
-    the text so named."""
+    """(label, a, b, c, d, hashes array<long>) of classes (label, content, a, b, c, d): the distinct shingle hashes of the
+    text so named."""
     names = ["label", *WIDE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in binaries(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, type=pa.binary())], names=[*names, "hashes"])
+        for batch in portions(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in binaries(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, type=pa.list_(pa.int64()))], names=[*names, "hashes"])
 
     few = classes.count() <= BROADCAST_KEYS
     named = docs.select(*_texts(docs, text_col)).join(F.broadcast(classes) if few else classes, "content")
     once = named.groupBy(*names).agg(F.first("t").alias("t"))
-    return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes binary"), "shingles")
+    return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes array<long>"), "shingles")
 
 
-def alike(one: bytes, other: bytes, similarity: float) -> bool:
-    """Whether two sets of sorted distinct shingle hashes have that Jaccard similarity."""
-    a, b = (np.frombuffer(x, dtype="<u8") for x in (one, other))
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of distinct shingle hashes have that Jaccard similarity."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common >= similarity * (len(a) + len(b) - common)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (u, v) whose shingle sets have that similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [alike(one.as_buffer(), other.as_buffer(), similarity) for one, other in zip(batch.column("one"), batch.column("other"))]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
-
+    """Those (u, v) whose shingle sets have that similarity; compared where they are joined, row by row in the JVM, so that
+    no batch of long sets is held."""
     left = pairs.join(sets.select(F.col("label").alias("u"), F.col("hashes").alias("one")), "u")
-    return left.join(sets.select(F.col("label").alias("v"), F.col("hashes").alias("other")), "v").mapInArrow(run, "u long, v long")
+    both = left.join(sets.select(F.col("label").alias("v"), F.col("hashes").alias("other")), "v")
+    common = F.size(F.array_intersect("one", "other"))
+    return both.where(common >= F.lit(similarity) * (F.size("one") + F.size("other") - common)).select("u", "v")
 
 
 def _alike(own: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import Rolling, binaries, checkpointed, chunks, mix, word_hashes
+from candleforge.llm.common import Rolling, binaries, checkpointed, chunks, mix, portions, word_hashes
 
 WINDOW = 50
 #: Cells in each of the two rows of the sketch, as a power of two; a merged row is a bitmap of 2^CELLS / 8 bytes.
@@ -153,7 +153,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [_Counts() for _ in _ROWS]
-        for batch in batches:
+        for batch in portions(batches, 2048):
             texts = binaries(batch.column("t"))
             for a, b in chunks(texts):
                 for row, cell in zip(counts, _cells(items(Windows(texts[a:b], window)), cells)):
@@ -235,7 +235,7 @@ def candidate_stretches(docs: DataFrame, bitmaps: Broadcast, window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmaps.value
-        for batch in batches:
+        for batch in portions(batches, 2048):
             ids, texts = batch.column("id").to_numpy(zero_copy_only=False), binaries(batch.column("t"))
             for a, b in chunks(texts):
                 w = Windows(texts[a:b], window)
@@ -254,7 +254,7 @@ def _windows_of(docs: DataFrame, places: Broadcast, window: int, cells: int, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = places.value
-        for batch in batches:
+        for batch in portions(batches, 2048):
             ids, texts = batch.column("id").to_numpy(zero_copy_only=False), binaries(batch.column("t"))
             for a, b in chunks(texts):
                 w = Windows(texts[a:b], window)
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, id
     rows = id_and_text(docs, id_col, text_col).join(lists, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2048):
             ids, texts, gone = batch.column("id"), binaries(batch.column("t")), batch.column("gone")
             runs = batch.column("stretches")
             for a, b in chunks(texts):

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, chunks, mix
+from candleforge.llm.common import binaries, checkpointed, chunks, mix, portions
 from candleforge.llm.substrings import CELLS, WINDOW, Windows, id_and_text, repeats, sketch
 
 #: Contexts of one seed that are compared in memory, and suffixes that are compared together.
@@ -64,7 +64,7 @@ def suffix_rows(docs: DataFrame, bitmaps: Broadcast, window: int, cells: int, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmaps.value
-        for batch in batches:
+        for batch in portions(batches, 2048):
             ids, texts = batch.column("id").to_numpy(zero_copy_only=False), binaries(batch.column("t"))
             for a, b in chunks(texts):
                 w = Windows(texts[a:b], window)

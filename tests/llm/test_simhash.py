@@ -259,7 +259,7 @@ def test_every_candidate_between_parts_is_tried(spark):
     sets[106] = base[0] + base[1][:22]
     rows = [(u, v, abs(u - v) % 7 + 1) for u in sets for v in sets if u < v and (u < 100) != (v < 100)] + [(0, i, 1) for i in range(1, 8)] + [(100, 100 + i, 1) for i in range(1, 8)]
     edges = spark.createDataFrame(rows, "u long, v long, distance long")
-    held = spark.createDataFrame([(k, bytearray(np.array(sorted(x), dtype="<u8").tobytes())) for k, x in sets.items()], "label long, hashes binary")
+    held = spark.createDataFrame([(k, sorted(x)) for k, x in sets.items()], "label long, hashes array<long>")
     got = {r.node: r.root for r in simhash.confirmed(edges, held, 0.8).collect()}
     want = common.forest(*(np.array(x) for x in zip(*[(u, v) for u, v, _ in rows if jaccard(set(sets[u]), set(sets[v])) >= 0.8])))
     assert {k: r for k, r in got.items() if k != r} == dict(zip(*(x.tolist() for x in want)))
