@@ -32,7 +32,7 @@ distance and are that similar, however rows are dealt and batched.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -340,7 +340,8 @@ def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int =
     several = checkpointed(several.select("bucket"))
     if several.isEmpty():
         return None
-    members = listed.join(several, "bucket").select("bucket", F.explode(F.array("u", "v")).alias("label")).unionByName(split.join(several, "bucket").select("bucket", "label"))
+    still = listed.join(several, "bucket")
+    members = reduce(DataFrame.unionByName, [still.select("bucket", F.col(end).alias("label")) for end in ("u", "v")], split.join(several, "bucket").select("bucket", "label"))
     members = checkpointed(of(members.distinct(), "label", "root"))
     sizes = members.join(several, "bucket").groupBy("bucket", "root").agg(F.count("*").alias("n"))
     facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
