@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ def within(df: DataFrame, date: dt.date, session: Session, ts: str = "timestamp"
     return df.where(F.col(ts).between(timez.wall_to_utc(date, session.start_minute), timez.wall_to_utc(date, session.end_minute)))
 
 
+def tagged(df: DataFrame, date: dt.date, windows: Sequence[Session], ts: str = "timestamp") -> DataFrame:
+    """Bars with the session of every request window that they lie in, a bar on a shared edge once for each; others go.
+    Windows are literal UTC bounds, and those around all of them are a filter on the bare column."""
+    ends = [(timez.wall_to_utc(date, s.start_minute), timez.wall_to_utc(date, s.end_minute), s.name) for s in sorted(windows, key=lambda s: s.start_minute)]
+    around = df.where(F.col(ts).between(ends[0][0], ends[-1][1]))
+    names = F.array(*[F.when(F.col(ts).between(lo, hi), F.lit(name)) for lo, hi, name in ends])
+    return around.withColumn("session", F.explode(F.array_compact(names)))
+
+
 def window_relation(spark: SparkSession, date: dt.date, mode: str, profile: Profile = FULL) -> DataFrame:
     """(session, start_utc, end_utc, expected, priority) of a harvest; a few literal rows."""
     rows = [(s.name, s.expected, s.priority, date, s.start_minute, s.end_minute) for s in profile.active(mode)]

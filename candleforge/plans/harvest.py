@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,27 +29,25 @@ def harvest(selection: DataFrame, symbol_map: DataFrame, prices: DataFrame, bars
 
     selection: (symbol). prices: source A bars (epic, SnapshotTime, Open..Volume). bars: source B bars
     (symbol, Datetime, Open..Volume). PRE and POST come from source A; REG of a single-source ticker too, of a
-    hybrid one from source B, or from source A if B has none. Sources are read once; the fallback is an anti-join
-    on the few tickers B lacks. Tickers outside the inventory are in `skipped`, a selection's repeats count once,
-    a NULL strategy is hybrid. Empty sources give failed rows in the report and no candles.
+    hybrid one from source B, or from source A if B has none. Source A is one branch of the plan: a bar is tagged with
+    every window that it lies in, as neighbours share an edge, and the fallback is a join with the few tickers B
+    serves. Candles and report are two results of the plan, so live sources are landed first (`worker.run`). Tickers
+    outside the inventory are in `skipped`, a selection's repeats count once, a NULL strategy is hybrid. Empty sources
+    give failed rows in the report and no candles.
     """
     chosen = inventory.known(selection, symbol_map)
     rules = chosen.select("user_ticker", F.col("capital_epic").alias("epic"), F.coalesce("source_strategy", F.lit(HYBRID)).alias("strategy"))
-    from_a = prices.join(rules, "epic")
     active = profile.active(mode)
-    parts: list[DataFrame] = []
-    for s in active:
-        cut = sessions.within(normalize.from_snapshots(from_a, s.name, "user_ticker"), date, s)
-        if s.name != "REG":
-            parts.append(cut.withColumn("source", F.lit("primary")))
-            continue
-        from_b = bars_of_day(bars, date).join(rules.where(F.col("strategy") != CAPITAL_ONLY).select(F.col("user_ticker").alias("symbol")), "symbol")
-        hybrid = normalize.from_bars(from_b).withColumn("source", F.lit("primary"))
-        served = hybrid.select("symbol").distinct()
-        single = rules.where(F.col("strategy") == CAPITAL_ONLY).select(F.col("user_ticker").alias("symbol"))
-        regular = cut.join(single.withColumn("_single", F.lit(True)), "symbol", "left")
-        labelled = regular.withColumn("source", F.when(F.col("_single"), "primary").otherwise("fallback")).drop("_single")
-        parts += [hybrid, labelled.join(served, "symbol", "left_anti")]
-    every = reduce(lambda a, b: a.unionByName(b), parts)
+    raw = prices.join(rules.withColumn("single", F.col("strategy") == CAPITAL_ONLY), "epic")
+    bars_a = normalize.from_snapshots(raw, F.when(F.col("single"), "single").otherwise("hybrid"), "user_ticker")
+    tagged = sessions.tagged(bars_a.withColumnRenamed("session", "kind"), date, active)
+    primary, regular = F.col("session") != "REG", F.col("kind") == "single"
+    if any(s.name == "REG" for s in active):
+        own = rules.where(F.col("strategy") != CAPITAL_ONLY).select(F.col("user_ticker").alias("symbol"))
+        from_b = normalize.from_bars(bars_of_day(bars, date).join(own, "symbol")).withColumn("source", F.lit("primary"))
+        served = from_b.select("symbol").distinct().withColumn("served", F.lit(True))
+        tagged = tagged.join(served, "symbol", "left").where(primary | regular | F.col("served").isNull()).drop("served")
+    from_a = tagged.withColumn("source", F.when(primary | regular, "primary").otherwise("fallback")).drop("kind")
+    every = from_a.unionByName(from_b) if any(s.name == "REG" for s in active) else from_a
     card = report.report_card(chosen.select("user_ticker", "source_strategy"), every, mode, profile)
     return Harvest(as_candles(merge_sessions(every.drop("source"))), card, inventory.unknown(selection, symbol_map), every)

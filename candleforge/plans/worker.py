@@ -33,12 +33,16 @@ def target_date(spark: SparkSession, now_utc: dt.datetime) -> dt.date:
 
 
 def run(spark: SparkSession, candles: CandleStore, symbols: InventoryStore, fetch: Fetch, now_utc: dt.datetime, mode: str = FULL_DAY, profile: Profile = FULL) -> Harvest:
-    """Harvest and commit. An empty inventory is an error; a harvest without bars only a warning."""
+    """Harvest and commit. An empty inventory is an error; a harvest without bars only a warning.
+
+    Both sources are landed in the store's file system first, so each request is made once and the report, the alerts
+    and the candles come from the same answers.
+    """
     date = target_date(spark, now_utc)
     symbol_map = symbols.read()
     if symbol_map.isEmpty():
         raise RuntimeError("the inventory is empty")
-    prices, bars = fetch(symbol_map, date)
+    prices, bars = (candles.landed(x, name) for x, name in zip(fetch(symbol_map, date), ("prices", "bars")))
     out = harvest(symbol_map.select(F.col("user_ticker").alias("symbol")), symbol_map, prices, bars, date, mode, profile)
     facts = report.alerts(out.report).first()
     if facts.failures:
