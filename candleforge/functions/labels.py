@@ -11,6 +11,8 @@ from candleforge.operators.profile import EMPTY, FULL, GAP_RATIO, RED, Profile
 
 COMPLETE, FAILED, VIA_FALLBACK = "✅ Complete", "❌ Failed", "✅ (Fallback)"
 CAPITAL_ONLY, HYBRID = "CAPITAL_ONLY", "HYBRID"
+# The choices that the inventory form offers.
+CHOICES = ("HYBRID (Stock/ETF)", "CAPITAL_ONLY (Index/CFD)")
 
 
 def mode_label(strategy: Column, primary_rows: Column, fallback_rows: Column, reg_runs: bool, profile: Profile = FULL) -> Column:
@@ -47,6 +49,11 @@ def strategy_code(text: Column) -> Column:
     return F.when(text.contains("CAPITAL"), F.lit(CAPITAL_ONLY)).otherwise(F.lit(HYBRID))
 
 
+def strategy_choice(code: Column) -> Column:
+    """Stored code to form choice, the reverse of strategy_code."""
+    return F.when(code.contains(HYBRID), F.lit(CHOICES[0])).otherwise(F.lit(CHOICES[1]))
+
+
 def clean_ticker(text: Column) -> Column:
     return F.upper(text)
 

@@ -96,6 +96,11 @@ def month_name(d: Column | str) -> Column:
     return F.date_format(_col(d), "MMMM")
 
 
+def month_number(name: Column | str) -> Column:
+    """Number of an English month name; another text is NULL."""
+    return F.month(F.try_to_timestamp(F.concat(F.lit("2000 "), _col(name)), F.lit("yyyy MMMM")))
+
+
 def clamp_start(start: Column | str, now: Column | str, hours: int = 16) -> Column:
     """Requests older than the source's history start one minute inside it."""
     s, n = _col(start), _col(now)

@@ -12,15 +12,18 @@ from candleforge.functions.labels import count_text, heat_colour
 from candleforge.operators.profile import FULL, Profile
 
 
-def health_long(candles: DataFrame, symbols: Sequence[str] | None, start: dt.date, end: dt.date, session_filter: str = "Total") -> DataFrame:
-    """(symbol, day, candle_count) for days in [start, end].
+def health_long(candles: DataFrame, symbols: Sequence[str] | None, start: dt.date | None = None, end: dt.date | None = None, session_filter: str = "Total") -> DataFrame:
+    """(symbol, day, candle_count) for days in [start, end]; without a bound that side is open.
 
     Predicates stay on the bare columns, so they reach the Parquet scan; the end bound is the next
     midnight, which for minute bars equals a text bound of 23:59:59.
     """
-    lo = F.lit(dt.datetime.combine(start, dt.time())).cast("timestamp_ntz")
-    hi = F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
-    rows = candles.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
+    midnight = lambda d: F.lit(dt.datetime.combine(d, dt.time())).cast("timestamp_ntz")
+    rows = candles
+    if start is not None:
+        rows = rows.where(F.col("timestamp") >= midnight(start))
+    if end is not None:
+        rows = rows.where(F.col("timestamp") < midnight(end + dt.timedelta(days=1)))
     if symbols is not None:
         rows = rows.where(F.col("symbol").isin(list(symbols)))
     if session_filter != "Total":
@@ -33,9 +36,9 @@ def days_between(start: dt.date, end: dt.date) -> list[dt.date]:
 
 
 def health_matrix(long: DataFrame, days: Sequence[dt.date]) -> DataFrame:
-    """symbol x day, NULL where there is no data. The day list is given, so the pivot needs no extra job and its columns are stable."""
+    """symbol x day in symbol order, NULL where there is no data. The day list is given, so the pivot needs no extra job and its columns are stable."""
     wide = long.groupBy("symbol").pivot("day", list(days)).agg(F.first("candle_count"))
-    return wide.toDF("symbol", *[d.isoformat() for d in days])
+    return wide.toDF("symbol", *[d.isoformat() for d in days]).orderBy("symbol")
 
 
 def unpivot_matrix(matrix: DataFrame) -> DataFrame:

@@ -52,6 +52,11 @@ def any_single_source(selection: DataFrame, symbol_map: DataFrame, key: str = "s
     return hit.select((F.coalesce(F.col("m"), F.lit(0)) == 1).alias("any_capital_only"))
 
 
+def display(symbol_map: DataFrame) -> DataFrame:
+    """The inventory as it is shown: Ticker, Epic, Strategy, in ticker order."""
+    return symbol_map.select(F.col("user_ticker").alias("Ticker"), F.col("capital_epic").alias("Epic"), F.col("source_strategy").alias("Strategy")).orderBy("Ticker")
+
+
 def as_lookup(symbol_map: DataFrame) -> dict[str, dict[str, str]]:
     """Python mapping for callers outside Spark; the inventory is a hand-kept dimension."""
     return {r.user_ticker: {"epic": r.capital_epic, "strategy": r.source_strategy} for r in symbol_map.orderBy("user_ticker").collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from candleforge.functions import labels, timez
 from candleforge.operators import export, health, inventory, normalize, report, sessions
 from candleforge.operators.profile import FULL, FULL_DAY, GREEN, ORANGE, REG_ONLY, YELLOW
 from candleforge.operators.reconcile import cap_rows, keep_last, merge_sessions, upsert, with_fallback
+from candleforge.operators.schemas import empty_candles
 from candleforge.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +30,7 @@ NOW = dt.datetime(1998, 3, 15, 12, 0)
 _ET = "timezone('US/Eastern', timezone('UTC', {0}))"
 _TAG = """CASE WHEN m >= 240 AND m < 570 THEN 'PRE' WHEN m >= 570 AND m < 960 THEN 'REG' WHEN m >= 960 AND m < 1200 THEN 'POST' END"""
 _BARS = f"""bars0 AS (SELECT date_trunc('minute', ts) AS "timestamp", 'SYM' || user_id AS symbol, event_type, ts, value, event_id,
-    CASE WHEN event_type IN ('click', 'view') THEN 'primary' ELSE 'fallback' END AS source,
+    CASE WHEN event_type IN ('click', 'view') AND user_id % 8 <> 5 THEN 'primary' ELSE 'fallback' END AS source,
     hour({_ET.format("ts")}) * 60 + minute({_ET.format("ts")}) AS m FROM events),
   bars AS (SELECT *, {_TAG} AS session FROM bars0)"""
 _MAP = """symbol_map AS (SELECT 'SYM' || c_custkey AS user_ticker, 'EPIC' || c_custkey AS capital_epic,
@@ -77,7 +79,7 @@ def health_long(spark: SparkSession, sf: str) -> DataFrame:
 @register("health_all_symbols", "SELECT event_type AS symbol, CAST(ts AS DATE) AS trade_day, count(*) AS candle_count FROM events GROUP BY ALL ORDER BY 1, 2")
 def health_all(spark: SparkSession, sf: str) -> DataFrame:
     bars = _events(spark, sf).select(F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp"))
-    return health.health_long(bars, None, dt.date(2024, 1, 1), dt.date(2024, 12, 31)).withColumnRenamed("day", "trade_day").orderBy("symbol", "trade_day")
+    return health.health_long(bars, None).withColumnRenamed("day", "trade_day").orderBy("symbol", "trade_day")
 
 
 def _by_session(session: str) -> None:
@@ -115,7 +117,7 @@ SELECT *, CASE {steps} ELSE '#5E2828' END AS colour, CAST(candle_count AS VARCHA
 
     @register(f"heat_{filter_.lower()}", sql)
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        long = health.health_long(_typed(spark, sf), None, dt.date(2024, 1, 1), dt.date(2024, 1, 31), filter_)
+        long = health.health_long(_typed(spark, sf), None, session_filter=filter_)
         return health.graded(long, filter_, SPARSE).withColumnRenamed("day", "trade_day")
 
 
@@ -163,7 +165,7 @@ def _report(mode: str) -> tuple[str, str]:
     gaps = ", ".join(f"""CASE WHEN "{s.label}" < {s.expected} * 0.9 THEN '{s.label}' END""" for s in active.values())
     wanted = ", ".join(f"'{s}'" for s in active)
     sql = f"""WITH {_BARS}, {_MAP}, parts AS (SELECT * FROM bars WHERE session IN ({wanted})),
-chosen AS (SELECT DISTINCT user_ticker, source_strategy FROM symbol_map JOIN (SELECT DISTINCT 'SYM' || (user_id % 300) AS s FROM events) ON s = user_ticker),
+chosen AS (SELECT user_ticker, source_strategy FROM symbol_map),
 counts AS (SELECT symbol, count(*) FILTER (session = 'PRE') AS "Pre", count(*) FILTER (session = 'REG') AS "Reg", count(*) FILTER (session = 'POST') AS "Post",
  count(DISTINCT "timestamp") AS "Total", count(*) FILTER (session = 'REG' AND source = 'primary') AS p, count(*) FILTER (session = 'REG' AND source = 'fallback') AS f FROM parts GROUP BY symbol),
 j AS (SELECT user_ticker AS "Ticker", CASE WHEN source_strategy = 'CAPITAL_ONLY' THEN source_strategy WHEN p > 0 THEN 'HYBRID (Yahoo)' WHEN f > 0 THEN 'HYBRID (Fallback)' ELSE source_strategy END AS "Mode",
@@ -174,9 +176,10 @@ SELECT "Ticker", "Mode", "Pre", "Reg", "Post", "Total", CASE WHEN "Total" = 0 TH
 
 
 def _card(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    events = _events(spark, sf)
-    bars = fixtures.raw_bars(events)
-    chosen = inventory.known(events.select(F.concat(F.lit("SYM"), (F.col("user_id") % 300).cast("string")).alias("symbol")), _map(spark, sf))
+    """The whole inventory: tickers without bars have failed."""
+    bars = fixtures.raw_bars(_events(spark, sf))
+    symbols = _map(spark, sf)
+    chosen = inventory.known(symbols.select(F.col("user_ticker").alias("symbol")), symbols)
     wanted = [s.name for s in SPARSE.active(mode)]
     return report.report_card(chosen, bars.where(F.col("session").isin(wanted)), mode, SPARSE)
 
@@ -237,15 +240,14 @@ def commit_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(rows.where("l_returnflag <> 'R'").select(*cols), rows.where("l_returnflag = 'R'").select(*cols), ["l_orderkey", "l_linenumber"], order)
 
 
-_FALLBACK = f"""WITH {_BARS}, pri AS (SELECT symbol, event_id, value FROM bars WHERE source = 'primary' AND event_id % 7 = 0), fb AS (SELECT symbol, event_id, value FROM bars WHERE source = 'fallback')
+_FALLBACK = f"""WITH {_BARS}, pri AS (SELECT symbol, event_id, value FROM bars WHERE source = 'primary'), fb AS (SELECT symbol, event_id, value FROM bars WHERE source = 'fallback')
 SELECT * FROM pri UNION ALL SELECT * FROM fb WHERE NOT EXISTS (SELECT 1 FROM pri WHERE pri.symbol = fb.symbol)"""
 
 
 @register("fallback_union", _FALLBACK)
 def fallback_union(spark: SparkSession, sf: str) -> DataFrame:
     bars = fixtures.raw_bars(_events(spark, sf))
-    primary = bars.where((F.col("source") == "primary") & (F.col("event_id") % 7 == 0))
-    return with_fallback(primary.select("symbol", "event_id", "value"), bars.where("source = 'fallback'").select("symbol", "event_id", "value"))
+    return with_fallback(bars.where("source = 'primary'").select("symbol", "event_id", "value"), bars.where("source = 'fallback'").select("symbol", "event_id", "value"))
 
 
 _SEL = "SELECT DISTINCT 'SYM' || user_id AS user_ticker FROM events"
@@ -271,7 +273,8 @@ def inventory_list(spark: SparkSession, sf: str) -> DataFrame:
     return _map(spark, sf).orderBy("user_ticker")
 
 
-@register("inventory_seed", "SELECT unnest(string_split('" + " ".join(inventory.SEED_TICKERS) + "', ' ')) AS user_ticker, user_ticker AS capital_epic, 'HYBRID' AS source_strategy")
+@register("inventory_seed", """SELECT t AS user_ticker, t AS capital_epic, 'HYBRID' AS source_strategy FROM (VALUES ('AMD'), ('AMZN'), ('AAPL'), ('AVGO'), ('BABA'),
+ ('GOOGL'), ('LRCX'), ('META'), ('MSFT'), ('MU'), ('NVDA'), ('ORCL'), ('PANW'), ('QCOM'), ('SHOP'), ('TSLA'), ('TSM'), ('SPY'), ('QQQ'), ('IWM'), ('DIA')) v(t)""")
 def inventory_seed(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.seed(spark)
 
@@ -292,6 +295,38 @@ def inventory_rename(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.rename_entry(_map(spark, sf), "SYM3", inventory.entry_row(spark, "symx", "oil", "HYBRID (both)"))
 
 
+@register("inventory_display", f"""WITH {_MAP} SELECT user_ticker AS "Ticker", capital_epic AS "Epic", source_strategy AS "Strategy" FROM symbol_map ORDER BY 1""")
+def inventory_display(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.display(_map(spark, sf))
+
+
+@register("strategy_choices", f"""WITH {_MAP} SELECT user_ticker, CASE WHEN source_strategy LIKE '%HYBRID%' THEN 'HYBRID (Stock/ETF)' ELSE 'CAPITAL_ONLY (Index/CFD)' END AS choice FROM symbol_map""")
+def strategy_choices(spark: SparkSession, sf: str) -> DataFrame:
+    return _map(spark, sf).select("user_ticker", labels.strategy_choice(F.col("source_strategy")).alias("choice"))
+
+
+@register("month_numbers", "SELECT o_orderkey, monthname(o_orderdate) AS month_name, CAST(month(o_orderdate) AS INTEGER) AS month_number FROM orders")
+def month_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    name = timez.month_name(F.to_date("o_orderdate"))
+    return fixtures.table(spark, sf, "orders").select("o_orderkey", name.alias("month_name"), timez.month_number(name).alias("month_number"))
+
+
+@register("empty_inputs", "SELECT CAST(0 AS BIGINT) AS candles, true AS inventory_empty, (SELECT count(*) FROM events) AS events")
+def empty_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed empty frames go through the merge as any others."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    counted = lambda df, **own: df.select(*[own.get(c, zero).alias(c) for c in ("candles", "entries", "events")])
+    every = counted(merge_sessions(empty_candles(spark)), candles=one).unionByName(counted(_map(spark, sf).where("false"), entries=one)).unionByName(counted(_events(spark, sf), events=one))
+    return every.agg(F.sum("candles").alias("candles"), (F.sum("entries") == 0).alias("inventory_empty"), F.sum("events").alias("events"))
+
+
+@register("session_union", f"""WITH {_BARS} SELECT "timestamp", 'SYM' || user_id AS symbol, value AS close, session FROM (SELECT e.user_id, b.* FROM bars b JOIN events e USING (event_id)) WHERE session IN ('PRE', 'REG', 'POST')""")
+def session_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The frames of the sessions, harvested apart, as one."""
+    bars = fixtures.raw_bars(_events(spark, sf)).select("timestamp", "symbol", F.col("value").alias("close"), "session")
+    return reduce(DataFrame.unionByName, [bars.where(F.col("session") == s.name) for s in FULL.sessions])
+
+
 @register("strategy_codes", """SELECT c_custkey, upper(lower(c_name)) AS ticker, CASE WHEN c_mktsegment LIKE '%MACH%' THEN 'CAPITAL_ONLY' ELSE 'HYBRID' END AS code,
  CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'E' || c_custkey END AS epic FROM customer""")
 def strategy_codes(spark: SparkSession, sf: str) -> DataFrame:

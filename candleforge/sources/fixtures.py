@@ -14,11 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_bars(events: DataFrame, symbol: Column | None = None) -> DataFrame:
-    """Every event as a one-tick bar: (timestamp, symbol, session, source, value, event_id); repeated minutes stay."""
+    """Every event as a one-tick bar: (timestamp, symbol, session, source, value, event_id); repeated minutes stay. One
+    symbol in eight is unknown to the primary source."""
     sym = symbol if symbol is not None else F.concat(F.lit("SYM"), F.col("user_id").cast("string"))
     return events.select(
         minute_of("ts").alias("timestamp"), sym.alias("symbol"), session_of("ts").alias("session"),
-        F.when(F.col("event_type").isin("click", "view"), "primary").otherwise("fallback").alias("source"), "ts", "value", "event_id",
+        F.when(F.col("event_type").isin("click", "view") & (F.col("user_id") % 8 != 5), "primary").otherwise("fallback").alias("source"), "ts", "value", "event_id",
     )
 
 

@@ -230,6 +230,35 @@ def test_harvest_modes(spark, sources, mode, rows):
         FULL.active("later")
 
 
+def test_harvest_reads_a_source_once_and_pushes_its_bounds(spark, sources, tmp_path):
+    prices, bars, smap = sources
+    store = CandleStore(spark, str(tmp_path / "store"))
+    prices, bars = store.landed(prices, "prices"), store.landed(bars, "bars")
+    out = harvest(spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string"), smap, prices, bars, dt.date(2024, 7, 5))
+    plan = out.candles._jdf.queryExecution().optimizedPlan().toString()
+    full = out.candles._jdf.queryExecution().explainString(out.candles.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.count("SnapshotTime#") and full.count("_landed/prices") == 1
+    assert "GreaterThanOrEqual(Datetime,2024-07-05" in full and "LessThanOrEqual(Datetime,2024-07-05" in full
+
+
+def test_worker_asks_its_sources_once(spark, sources, tmp_path):
+    prices, bars, smap = sources
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        asked.add(1)
+        yield from batches
+
+    def fetch(symbols, date):
+        return tuple(x.coalesce(1).mapInArrow(counted, x.schema) for x in (prices, bars))
+
+    store, inv = CandleStore(spark, str(tmp_path / "s")), InventoryStore(spark, str(tmp_path / "i"))
+    inv.upsert("A", "EA")
+    out = worker.run(spark, store, inv, fetch, D(2024, 7, 5, 21))
+    assert out.report.count() == 1 and store.read().count() == 961
+    assert asked.value == 2
+
+
 def test_harvest_of_empty_sources(spark, sources):
     prices, bars, smap = sources
     out = harvest(spark.createDataFrame([("A",)], "symbol string"), smap, prices.limit(0), bars.limit(0), dt.date(2024, 7, 5), profile=LEGACY)
@@ -255,6 +284,59 @@ def test_store_commit_is_idempotent(spark, tmp_path):
     assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_stage")]
 
 
+@pytest.mark.parametrize("step", ["_publish", "write", "_tidy"])
+def test_a_commit_that_fails_half_way_loses_nothing(spark, tmp_path, monkeypatch, step):
+    store = CandleStore(spark, str(tmp_path / "store"))
+    day = lambda h, v, sym="A": (D.fromisoformat(f"2024-07-05 {h}:30"), sym, v, v, v, v, v, "REG")
+    frame = lambda rows: spark.createDataFrame(rows, empty_candles(spark).schema)
+    store.commit(frame([day(14, 1.0), day(15, 1.0, "B"), (D(2024, 7, 6, 14), "A", 2.0, 2.0, 2.0, 2.0, 2.0, "REG")]))
+    before = sorted(map(tuple, store.read().collect()))
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        if step == "write":  # the data are written, and the driver is gone before it publishes
+            m.setattr(store, "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        else:
+            m.setattr(store, step, broken)
+        with pytest.raises((OSError, KeyboardInterrupt)):
+            store.commit(frame([day(14, 9.0), day(16, 9.0)]))
+    seen = sorted(map(tuple, CandleStore(spark, str(tmp_path / "store")).read().collect()))
+    assert seen == before if step != "_tidy" else len(seen) == 4
+    assert store.commit(frame([day(14, 9.0), day(16, 9.0)])) == 1
+    assert sorted((r.symbol, str(r.timestamp), r.open) for r in store.read().collect()) == [
+        ("A", "2024-07-05 14:30:00", 9.0), ("A", "2024-07-05 16:30:00", 9.0), ("A", "2024-07-06 14:00:00", 2.0), ("B", "2024-07-05 15:30:00", 1.0),
+    ]
+
+
+def test_two_commits_of_one_version_do_not_lose_rows(spark, tmp_path, monkeypatch):
+    store, other = (CandleStore(spark, str(tmp_path / "store")) for _ in range(2))
+    frame = lambda sym: spark.createDataFrame([(D(2024, 7, 5, 14, 30), sym, 1.0, 1.0, 1.0, 1.0, 1.0, "REG")], empty_candles(spark).schema)
+    store.commit(frame("A"))
+    publish = store._publish
+
+    def late(*args):
+        other.commit(frame("B"))
+        publish(*args)
+
+    monkeypatch.setattr(store, "_publish", late)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        store.commit(frame("C"))
+    monkeypatch.setattr(store, "_publish", publish)
+    store.commit(frame("C"))
+    assert {r.symbol for r in store.read().collect()} == {"A", "B", "C"}
+
+
+def test_read_prunes_days(spark, tmp_path):
+    store = CandleStore(spark, str(tmp_path / "store"))
+    rows = [(D(2024, 7, d, 14, 30), "A", 1.0, 1.0, 1.0, 1.0, 1.0, "REG") for d in range(1, 9)]
+    store.commit(spark.createDataFrame(rows, empty_candles(spark).schema))
+    one = store.read().where("day = date'2024-07-03'")
+    assert one.count() == 1 and len(one.inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().toString()
+
+
 def test_inventory_store(spark, tmp_path):
     inv = InventoryStore(spark, str(tmp_path / "inv"))
     assert inv.read().count() == 0
