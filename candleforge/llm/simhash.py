@@ -32,7 +32,7 @@ distance and are that similar, however rows are dealt and batched.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -166,10 +166,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "id long, fp long")
 
 
+def _segments(fps: np.ndarray) -> list[np.ndarray]:
+    return [((fps[:, w].view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for w in range(fps.shape[1]) for i in range(4)]
+
+
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, row): the keys of fingerprints (n by words), and whose they are."""
     decoding, within = golay()
-    seg = [((fps[:, w].view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for w in range(fps.shape[1]) for i in range(4)]
+    seg = _segments(fps)
     keys, own = [], []
 
     def add(kind: int, exact: np.ndarray, lists: np.ndarray) -> None:
@@ -257,7 +261,8 @@ def spanned(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _meet(key: np.ndarray, edge: np.ndarray, fp: np.ndarray, bits: int, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, ...]]:
     """(u, v, distance, key) of whole groups, rows edge[i] to edge[i + 1] each: all verified pairs of small groups, and
-    the least spanning forest of others. The key is given, else -1, where pairs are held back."""
+    the least spanning forest of others. The key is given, else -1, where pairs are held back; there the roots of trees
+    come too, with themselves, so that each row with a verified pair is a v once."""
     start, size = edge[:-1], np.diff(edge)
     for n in np.unique(size[size > 1]).tolist():
         same = start[size == n]
@@ -272,8 +277,12 @@ def _meet(key: np.ndarray, edge: np.ndarray, fp: np.ndarray, bits: int, pairs: i
                 left, right, d, held = left[ok], right[ok], d[ok].astype(np.int64), np.full(ok.sum(), -1)
             else:
                 group, i, j, d, total = spanned(fp[some[:, None] + np.arange(n)], bits)
-                left, right = some[group] + i, some[group] + j
-                held = np.where(total[group] > np.bincount(group, minlength=len(some))[group], key[some][group], -1)
+                held = np.where(total > np.bincount(group, minlength=len(some)), key[some], -1)
+                child = np.zeros((len(some), n), dtype=bool)
+                child[group, j] = True
+                tops = np.unique(np.stack([group, i])[:, ~child[group, i] & (held[group] >= 0)], axis=1)
+                group, i, j, d = (np.concatenate(x) for x in ((group, tops[0]), (i, tops[1]), (j, tops[1]), (d, np.zeros(tops.shape[1], dtype=np.int64))))
+                left, right, held = some[group] + i, some[group] + j, held[group]
             if len(left):
                 yield labels(fp[left]), labels(fp[right]), d, held
 
@@ -332,21 +341,15 @@ def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int =
     Rows of a key that is one component by roots (node, root) go. Of the others, those outside the largest component
     (left) meet all rows, in cells of at most about twice `cell` rows.
     """
-    listed = found.where(F.col("bucket").isNotNull()).select("bucket", "u", "v")
-    of = lambda df, end, root: df.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
-    ends = of(of(listed, "u", "ru"), "v", "rv").select("bucket", F.least("ru", "rv").alias("lo"), F.greatest("ru", "rv").alias("hi"))
-    alone = of(split, "label", "root").select("bucket", F.col("root").alias("lo"), F.col("root").alias("hi"))
-    several = ends.unionByName(alone).groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    several = checkpointed(several.select("bucket"))
-    if several.isEmpty():
-        return None
-    still = listed.join(several, "bucket")
-    members = reduce(DataFrame.unionByName, [still.select("bucket", F.col(end).alias("label")) for end in ("u", "v")], split.join(several, "bucket").select("bucket", "label"))
-    members = checkpointed(of(members.distinct(), "label", "root"))
-    sizes = members.join(several, "bucket").groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    listed = found.where(F.col("bucket").isNotNull()).select("bucket", F.col("v").alias("label")).unionByName(split)
+    members = listed.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
+    members = checkpointed(members.select("bucket", "label", F.coalesce("root", "label").alias("root")))
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     parts = lambda n: F.ceil(n / cell).cast("int")
     facts = checkpointed(facts.select("bucket", "main", parts(F.col("n") - F.col("most")).alias("xs"), parts(F.col("n")).alias("ys")))
+    if facts.isEmpty():
+        return None
     rows = members.join(facts, "bucket")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = rows.where(F.col("root") != F.col("main")).withColumn("x", _column("label", "xs")).withColumn("y", every("ys")).withColumn("left", F.lit(True))
@@ -355,18 +358,76 @@ def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int =
     return one.select(*columns).unionByName(other.select(*columns))
 
 
+def _least_key(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether bucket is the least key that the wide fingerprints a[i] and b[i] share."""
+    decoding, within = golay()
+    one, other = _segments(a), _segments(b)
+    out = np.ones(len(a), dtype=bool)
+    for i in range((bucket >> 32) + 1):
+        j = (i + 1) % len(one)
+        mine, theirs = within[one[j]][:, :, None], within[other[j]][:, None, :]
+        common = np.where((mine == theirs) & (mine >= 0), mine, 1 << 12).min(axis=(1, 2))
+        shared = (decoding[one[i]] == decoding[other[i]]) & (common < 1 << 12)
+        out &= shared & (common == bucket & 0xFFF) if i == bucket >> 32 else ~shared
+    return out
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(bucket, rows) of whole cells; rows are sorted by cell."""
+    now, held = None, []
+    for batch in batches:
+        keys = _matrix(batch, ("bucket", "x", "y"))
+        edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(keys)]):
+            if a == b:
+                continue
+            if now is not None and (keys[a] != now).any():
+                yield int(now[0]), pa.concat_tables(held)
+                held = []
+            now = keys[a]
+            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+    if held:
+        yield int(now[0]), pa.concat_tables(held)
+
+
+def _near(rows: pa.Table, columns: tuple[str, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(fingerprints of all rows, i, j) of pairs within `bits` of a left row and another one that has another root."""
+    left, root = rows.column("left").to_numpy(), rows.column("root").to_numpy()
+    fps = np.ascontiguousarray(np.stack([rows.column(c).to_numpy() for c in columns], axis=1))
+    own, other = np.flatnonzero(left), np.flatnonzero(~left)
+    for at in range(0, len(own), 64):
+        some = own[at : at + 64]
+        i, j = np.nonzero((_apart(fps[some][:, None], fps[other][None]) <= bits) & (root[some][:, None] != root[other][None]))
+        yield fps, some[i], other[j]
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+
+def involved(cells: DataFrame, bits: int) -> DataFrame:
+    """The rows of cells, which hold wide fingerprints, that have a pair to be compared there: of different roots, within
+    `bits`, and with the cell's key as the least that both have, so each pair is compared once. A pair whose least key
+    held nothing back was compared before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_cell(batches):
+            keep = np.zeros(rows.num_rows, dtype=bool)
+            for fps, i, j in _near(rows, WIDE, bits):
+                first = _least_key(fps[i], fps[j], bucket)
+                keep[i[first]] = keep[j[first]] = True
+            yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return checkpointed(_dealt(cells).mapInArrow(run, cells.schema))
+
+
 def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: float | None = None) -> DataFrame:
     """(u, v) links that connect what all links within the cells connect beyond their roots. Cells hold the fingerprints'
     columns too and, if a similarity is asked for, the shingle hashes."""
 
-    names = ["label", "root", "left", *columns, *(["hashes"] if similarity is not None else [])]
-
     def compared(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        left = rows.column("left").to_numpy()
-        fps = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)
         name, root = rows.column("label").to_numpy(), rows.column("root").to_numpy()
         sets = rows.column("hashes") if similarity is not None else None
-        own, other = np.flatnonzero(left), np.flatnonzero(~left)
         part: dict[int, int] = {}
 
         def find(r: int) -> int:
@@ -374,40 +435,19 @@ def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: floa
                 r = part[r]
             return r
 
-        for at in range(0, len(own), 64):
-            some = own[at : at + 64]
-            near = (_apart(fps[some][:, None], fps[other][None]) <= bits) & (root[some][:, None] != root[other][None])
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                i, j = int(some[i]), int(other[j])
+        for _, left, right in _near(rows, columns, bits):
+            for i, j in zip(left.tolist(), right.tolist()):
                 p, q = find(int(root[i])), find(int(root[j]))
                 if p != q and (sets is None or alike(sets[i].values.to_numpy(), sets[j].values.to_numpy(), similarity)):
                     part[max(p, q)] = min(p, q)
                     yield int(name[i]), int(name[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def out() -> pa.RecordBatch:
-            pairs = list(compared(pa.concat_tables(held)))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        for _, rows in _by_cell(batches):
+            pairs = list(compared(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-        now = None
-        for batch in batches:
-            keys = _matrix(batch, ("bucket", "x", "y"))
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(keys)]):
-                if a == b:
-                    continue
-                if now is not None and (keys[a] != now).any():
-                    yield out()
-                    held = []
-                now = keys[a]
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]).select(names))
-        if held:
-            yield out()
-
-    dealt = cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return checkpointed(dealt.mapInArrow(run, "u long, v long"))
+    return checkpointed(_dealt(cells).mapInArrow(run, "u long, v long"))
 
 
 def linked(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, cell: int = CELL) -> DataFrame:
@@ -577,7 +617,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         sure = short_links(labelled.select("label", "short"), similarity)
         bits = most_bits(similarity)
         found, split = links(classes, bits, block, WIDE)
-        candidates = found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
+        candidates = found.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
         candidates = checkpointed(candidates)
         named = classes.select("label", "content", *WIDE)
         ends = candidates.select(F.col("u").alias("label")).unionByName(candidates.select(F.col("v").alias("label"))).distinct()
@@ -586,9 +626,10 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         cells = open_cells(found, split, roots, cell)
         if cells is None:
             return roots
-        cells = checkpointed(cells)
+        cells = involved(cells.join(classes.select("label", *WIDE), "label"), bits)
+        # of a key that was split, rows without a candidate may be there too
         sets = shingle_sets(docs, text_col, checkpointed(named.join(cells.select("label").distinct(), "label")), shingle)
-        more = rest(cells.join(sets, "label"), WIDE, bits, similarity)
+        more = rest(cells.join(sets.select("label", "hashes"), "label"), WIDE, bits, similarity)
         return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted, ("content", "root"))
