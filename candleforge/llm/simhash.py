@@ -25,7 +25,8 @@ each of the 16 segment pairs makes one to six rows. Pigeonhole can't cover that
 odds of 0.94 at similarity 0.8, 0.98 at 0.85 and 0.995 at 0.9 (the tests measure them, on edited texts too). Rows that
 meet are candidates up to three standard errors beyond the expected distance, and a candidate is a link only if the
 shingle sets themselves are that similar. A key gives on the least spanning forest of its candidates; what it holds
-back is compared after contraction, as above. So the links are exactly the pairs that share a key, are within that
+back is compared after contraction, as above: first by sketches of 256 bytes, which prove most unlike pairs unlike, and
+only rows with a pair that is left fetch their shingle sets. So the links are exactly the pairs that share a key, are within that
 distance and are that similar, however rows are dealt and batched.
 """
 
@@ -50,6 +51,8 @@ MAX_BITS = 4
 WIDE = ("a", "b", "c", "d")
 #: Distinct shingles up to which texts are joined exactly, and rows of one of their keys that are compared in one cell.
 SHORT, CELL = 40, 512
+#: Rows of one key, of a fixed size each, that are screened in one cell; counts in a sketch, and pairs of them taken at once.
+SCREEN, SKETCH, SCREENED = 2048, 256, 1 << 14
 #: Rows of one key that meet at once; keys with more are split.
 BLOCK = 2048
 #: Rows of a key up to which every verified pair is given on: no more than two for each row.
@@ -335,11 +338,11 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
     return checkpointed(dealt.mapInArrow(run, "u long, v long, distance long, bucket long")), split
 
 
-def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame | None:
-    """(bucket, x, y, label, root, left): what is left to compare of keys that held back pairs, None if nothing is.
+def open_rows(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int) -> DataFrame | None:
+    """(bucket, label, root, main, xs, ys): what is left to compare of keys that held back pairs, None if nothing is.
 
     Rows of a key that is one component by roots (node, root) go. Of the others, those outside the largest component
-    (left) meet all rows, in cells of at most about twice `cell` rows.
+    (main) meet all rows as left ones, in xs times ys cells of at most about twice `cell` rows.
     """
     listed = found.where(F.col("bucket").isNotNull()).select("bucket", F.col("v").alias("label")).unionByName(split)
     members = listed.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
@@ -348,16 +351,40 @@ def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int =
     facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     parts = lambda n: F.ceil(n / cell).cast("int")
     facts = checkpointed(facts.select("bucket", "main", parts(F.col("n") - F.col("most")).alias("xs"), parts(F.col("n")).alias("ys")))
-    if facts.isEmpty():
-        return None
-    rows = members.join(facts, "bucket")
+    return None if facts.isEmpty() else members.join(facts, "bucket")
+
+
+def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame | None:
+    """open_rows dealt over their cells: (bucket, x, y, label, root, left), or None."""
+    rows = open_rows(found, split, roots, cell)
+    return None if rows is None else _celled(rows)
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """open_rows, with further columns, in every cell of theirs."""
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = rows.where(F.col("root") != F.col("main")).withColumn("x", _column("label", "xs")).withColumn("y", every("ys")).withColumn("left", F.lit(True))
     other = rows.withColumn("y", _column("label", "ys")).withColumn("x", every("xs")).withColumn("left", F.lit(False))
-    columns = ["bucket", "x", "y", "label", "root", "left"]
+    first = ["bucket", "x", "y", "label", "root", "left"]
+    columns = first + [c for c in rows.columns if c not in (*first, "main", "xs", "ys")]
     return one.select(*columns).unionByName(other.select(*columns))
 
 
+def _finer(cells: DataFrame, cell: int) -> DataFrame:
+    """The same rows in cells of about `cell` left and `cell` other rows at most: whole shingle sets come with them next."""
+    where = ["bucket", "x", "y"]
+    parts = lambda side: F.greatest(F.ceil(F.sum(side.cast("int")) / cell), F.lit(1)).cast("int")
+    sizes = checkpointed(cells.groupBy(*where).agg(parts(F.col("left")).alias("xs"), parts(~F.col("left")).alias("ys")))
+    rows = cells.join(sizes, where)
+    own = F.xxhash64("bucket", "label")  # the label alone chose the cell
+    mine = F.pmod(own, F.when(F.col("left"), F.col("xs")).otherwise(F.col("ys"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("ys")).otherwise(F.col("xs")) - 1))
+    rows = rows.withColumn("mine", mine).withColumn("other", other)
+    place = {"x": ("mine", "other"), "y": ("other", "mine")}
+    finer = {c: F.col(c).cast("long") * (1 << 20) + F.when(F.col("left"), F.col(a)).otherwise(F.col(b)) for c, (a, b) in place.items()}
+    return rows.withColumns(finer).select(*cells.columns)
+
+
 def _least_key(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
     """Whether bucket is the least key that the wide fingerprints a[i] and b[i] share."""
     decoding, within = golay()
@@ -390,30 +417,54 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
         yield int(now[0]), pa.concat_tables(held)
 
 
-def _near(rows: pa.Table, columns: tuple[str, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(fingerprints of all rows, i, j) of pairs within `bits` of a left row and another one that has another root."""
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes counted by their highest byte, 255 at most."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+
+
+def possible(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets may have that Jaccard similarity, by their sketches (row by row) and the sum of their sizes.
+
+    Counts that differ by d prove d hashes that one set alone has, and so do counts cut at 255. Sets of that similarity
+    have at most (1 - similarity) / (1 + similarity) of the summed sizes of such hashes; so no similar pair is refused.
+    """
+    apart = (np.maximum(one, other) - np.minimum(one, other)).sum(axis=1, dtype=np.int64)
+    return apart * (1 + similarity) <= sizes * (1 - similarity) + 1e-6
+
+
+def _near(rows: pa.Table, columns: tuple[str, ...], bits: int, similarity: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(fingerprints of all rows, i, j) of pairs within `bits` of a left row and another one that has another root; where a
+    similarity is given, without those that their sketches prove less alike."""
     left, root = rows.column("left").to_numpy(), rows.column("root").to_numpy()
+    if similarity is not None:
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+        size = rows.column("n").to_numpy().astype(np.int64)
     fps = np.ascontiguousarray(np.stack([rows.column(c).to_numpy() for c in columns], axis=1))
     own, other = np.flatnonzero(left), np.flatnonzero(~left)
     for at in range(0, len(own), 64):
         some = own[at : at + 64]
         i, j = np.nonzero((_apart(fps[some][:, None], fps[other][None]) <= bits) & (root[some][:, None] != root[other][None]))
-        yield fps, some[i], other[j]
+        i, j = some[i], other[j]
+        if similarity is not None:
+            ok = [possible(sketches[a], sketches[b], size[a] + size[b], similarity) for a, b in ((i[k : k + SCREENED], j[k : k + SCREENED]) for k in range(0, len(i), SCREENED))]
+            keep = np.concatenate(ok) if ok else np.zeros(0, dtype=bool)
+            i, j = i[keep], j[keep]
+        yield fps, i, j
 
 
 def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
 
-def involved(cells: DataFrame, bits: int) -> DataFrame:
-    """The rows of cells, which hold wide fingerprints, that have a pair to be compared there: of different roots, within
-    `bits`, and with the cell's key as the least that both have, so each pair is compared once. A pair whose least key
-    held nothing back was compared before."""
+def involved(cells: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """The rows of cells, which hold wide fingerprints, sketches and sizes, that have a pair to be compared there: of
+    different roots, within `bits`, not proven less alike by their sketches, and with the cell's key as the least that both
+    have, so each pair is compared once. A pair whose least key held nothing back was compared before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_cell(batches):
             keep = np.zeros(rows.num_rows, dtype=bool)
-            for fps, i, j in _near(rows, WIDE, bits):
+            for fps, i, j in _near(rows, WIDE, bits, similarity):
                 first = _least_key(fps[i], fps[j], bucket)
                 keep[i[first]] = keep[j[first]] = True
             yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
@@ -423,7 +474,7 @@ def involved(cells: DataFrame, bits: int) -> DataFrame:
 
 def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: float | None = None) -> DataFrame:
     """(u, v) links that connect what all links within the cells connect beyond their roots. Cells hold the fingerprints'
-    columns too and, if a similarity is asked for, the shingle hashes."""
+    columns too and, if a similarity is asked for, the shingle hashes, their number n and their sketch."""
 
     def compared(rows: pa.Table) -> Iterator[tuple[int, int]]:
         name, root = rows.column("label").to_numpy(), rows.column("root").to_numpy()
@@ -435,7 +486,7 @@ def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: floa
                 r = part[r]
             return r
 
-        for _, left, right in _near(rows, columns, bits):
+        for _, left, right in _near(rows, columns, bits, similarity):
             for i, j in zip(left.tolist(), right.tolist()):
                 p, q = find(int(root[i])), find(int(root[j]))
                 if p != q and (sets is None or alike(sets[i].values.to_numpy(), sets[j].values.to_numpy(), similarity)):
@@ -463,19 +514,21 @@ def linked(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, cell:
 
 
 def shingle_sets(docs: DataFrame, text_col: str, classes: DataFrame, shingle: int) -> DataFrame:
-    """(label, a, b, c, d, hashes array<long>) of classes (label, content, a, b, c, d): the distinct shingle hashes of the
-    text so named."""
+    """(label, a, b, c, d, hashes array<long>, n int, sketch binary) of classes (label, content, a, b, c, d): the distinct
+    shingle hashes of the text so named, their number and their sketch."""
     names = ["label", *WIDE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in binaries(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, type=pa.list_(pa.int64()))], names=[*names, "hashes"])
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in binaries(batch.column("t"))]
+            own = [pa.array([x.view(np.int64) for x in sets], type=pa.list_(pa.int64())), pa.array([len(x) for x in sets], type=pa.int32())]
+            own.append(pa.array([sketch(x).tobytes() for x in sets], type=pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], names=[*names, "hashes", "n", "sketch"])
 
     few = classes.count() <= BROADCAST_KEYS
     named = docs.select(*_texts(docs, text_col)).join(F.broadcast(classes) if few else classes, "content")
     once = named.groupBy(*names).agg(F.first("t").alias("t"))
-    return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes array<long>"), "shingles")
+    return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes array<long>, n int, sketch binary"), "shingles")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -599,18 +652,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _grouped(fingerprints(docs, id_col, text_col, shingle), ("fp",), lambda classes, _: linked(classes, bits))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, cell: int = CELL, screen: int = SCREEN) -> DataFrame:
     """(doc_id, a, b, c, d long, component_id) of every row of docs, by wide fingerprints.
 
     Links join texts whose sets of lower-cased word shingles have that Jaccard similarity: all of those with at most
     SHORT distinct shingles each, and others among those whose fingerprints share a key and differ in at most
     `most_bits(similarity)` bits; equal fingerprints are linked unseen. The result does not depend on partitions,
-    batches, block or cell. A bit that half of the shingles have is 0. Cases are handled as by simhash_groups.
+    batches, block, cell or screen. A bit that half of the shingles have is 0. Cases are handled as by simhash_groups.
     """
-    return _similar_rows(docs, id_col, text_col, shingle, similarity, block, cell).drop("content", "root")
+    return _similar_rows(docs, id_col, text_col, shingle, similarity, block, cell, screen).drop("content", "root")
 
 
-def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = BLOCK, cell: int = CELL, screen: int = SCREEN) -> DataFrame:
     """The same with the content and the group's root of every row."""
 
     def rooted(classes: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -623,13 +676,13 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         ends = candidates.select(F.col("u").alias("label")).unionByName(candidates.select(F.col("v").alias("label"))).distinct()
         sets = shingle_sets(docs, text_col, checkpointed(named.join(ends, "label")), shingle)
         roots = checkpointed(confirmed(candidates, sets, similarity, sure))
-        cells = open_cells(found, split, roots, cell)
-        if cells is None:
+        rows = open_rows(found, split, roots, screen)
+        if rows is None:
             return roots
-        cells = involved(cells.join(classes.select("label", *WIDE), "label"), bits)
         # of a key that was split, rows without a candidate may be there too
-        sets = shingle_sets(docs, text_col, checkpointed(named.join(cells.select("label").distinct(), "label")), shingle)
-        more = rest(cells.join(sets.select("label", "hashes"), "label"), WIDE, bits, similarity)
+        sets = shingle_sets(docs, text_col, checkpointed(named.join(rows.select("label").distinct(), "label")), shingle)
+        cells = involved(_celled(rows.join(sets.select("label", *WIDE, "n", "sketch"), "label")), bits, similarity)
+        more = rest(_finer(cells, cell).join(sets.select("label", "hashes"), "label"), WIDE, bits, similarity)
         return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted, ("content", "root"))

@@ -347,6 +347,36 @@ def test_a_family_is_joined_exactly_however_it_is_dealt(spark):
         assert got == want
 
 
+@pytest.mark.parametrize(("block", "cell", "screen"), [(2048, 2, 16), (8, 3, 4), (30, 512, 5), (2048, 1, 2048)])
+def test_screened_cells_lose_nothing(spark, block, cell, screen):
+    rows = list(enumerate(family(random.Random(29))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(df, block=block, cell=cell, screen=screen).collect())
+    assert got == sorted((d, c) for d, _, c in slow_similar(rows))
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 400, 3000, 90_000])
+def test_sketches_refuse_unlike_pairs_only(n):
+    """No pair of at least that similarity, however long its texts, counts beyond 255 among them; most unlike short ones go."""
+    rng = np.random.default_rng(n)
+    refused = 0
+    for share in np.linspace(0.4, 1, 40):
+        common = int(n * share)
+        both, a, b = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2)) for k in (common, n - common, rng.integers(0, n - common + 1)))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        if not len(x) + len(y):
+            continue
+        ok = simhash.possible(simhash.sketch(x)[None], simhash.sketch(y)[None], np.array([len(x) + len(y)]), 0.8)[0]
+        assert ok or not simhash.alike(x, y, 0.8)
+        refused += not ok
+    assert refused >= 10 or n > 1000 or n < 60
+
+
+def test_empty_sets_may_be_alike():
+    none = simhash.sketch(np.zeros(0, dtype=np.uint64))[None]
+    assert simhash.possible(none, none, np.zeros(1, dtype=np.int64), 0.8).all()
+
+
 def test_a_large_group_is_contracted_not_listed(spark):
     """Near copies: what a key gives on is in proportion to its rows, and nothing is left to compare in full."""
     r = random.Random(23)
