@@ -25,7 +25,8 @@ each of the 16 segment pairs makes one to six rows. Pigeonhole can't cover that
 odds of 0.94 at similarity 0.8, 0.98 at 0.85 and 0.995 at 0.9 (the tests measure them, on edited texts too). Rows that
 meet are candidates up to three standard errors beyond the expected distance, and a candidate is a link only if the
 shingle sets themselves are that similar. A key gives on the least spanning forest of its candidates; what it holds
-back is compared after contraction, as above: first by sketches of 256 bytes, which prove most unlike pairs unlike, and
+back is compared after contraction, as above, but once for a whole family of candidates where that makes fewer pairs than
+its keys do: first by sketches of 256 bytes, which prove most unlike pairs unlike, and
 only rows with a pair that is left fetch their shingle sets. So the links are exactly the pairs that share a key, are within that
 distance and are that similar, however rows are dealt and batched.
 """
@@ -263,7 +264,7 @@ def spanned(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _meet(key: np.ndarray, edge: np.ndarray, fp: np.ndarray, bits: int, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, ...]]:
-    """(u, v, distance, key) of whole groups, rows edge[i] to edge[i + 1] each: all verified pairs of small groups, and
+    """(u, v, distance, key, n) of whole groups of n rows, edge[i] to edge[i + 1] each: all verified pairs of small groups, and
     the least spanning forest of others. The key is given, else -1, where pairs are held back; there the roots of trees
     come too, with themselves, so that each row with a verified pair is a v once."""
     start, size = edge[:-1], np.diff(edge)
@@ -287,7 +288,7 @@ def _meet(key: np.ndarray, edge: np.ndarray, fp: np.ndarray, bits: int, pairs: i
                 group, i, j, d = (np.concatenate(x) for x in ((group, tops[0]), (i, tops[1]), (j, tops[1]), (d, np.zeros(tops.shape[1], dtype=np.int64))))
                 left, right, held = some[group] + i, some[group] + j, held[group]
             if len(left):
-                yield labels(fp[left]), labels(fp[right]), d, held
+                yield labels(fp[left]), labels(fp[right]), d, held, np.full(len(left), n)
 
 
 def _column(df_key: str, parts: str) -> F.Column:
@@ -297,9 +298,9 @@ def _column(df_key: str, parts: str) -> F.Column:
 def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns: tuple[str, ...] = ("fp",)) -> tuple[DataFrame, DataFrame]:
     """(found, split) for one row per fingerprint, checkpointed.
 
-    found: (u, v, distance, bucket) links, by `labels`, of fingerprints that share a key and differ in at most `bits`
+    found: (u, v, distance, bucket, met) links, by `labels`, of fingerprints that share a key and differ in at most `bits`
     bits. For one column of 64 bits, 0 to 4, all such pairs share a key. bucket names a key that held back pairs among
-    its rows in found, else it is null. split: (bucket, label) of all rows of keys that were split, whose parts have not
+    its rows in found, else it is null; met is the number of rows that met there. split: (bucket, label) of all rows of keys that were split, whose parts have not
     all met; `rest` compares what remains of either.
     """
     if len(columns) == 1 and not 0 <= bits <= MAX_BITS:
@@ -323,8 +324,8 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
 
         def out(rows: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.r_[0, change, len(rows)] if len(rows) else np.zeros(1, dtype=np.int64)
-            for u, v, d, key in _meet(rows[:, 0], edge, np.ascontiguousarray(rows[:, 2:]), bits):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), pa.array(key, mask=key < 0)], names=["u", "v", "distance", "bucket"])
+            for u, v, d, key, n in _meet(rows[:, 0], edge, np.ascontiguousarray(rows[:, 2:]), bits):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), pa.array(key, mask=key < 0), pa.array(n)], names=["u", "v", "distance", "bucket", "met"])
 
         for batch in batches:
             held = np.concatenate([held, _matrix(batch, ("k", "cell", *columns))])
@@ -335,7 +336,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
         yield from out(held, np.zeros(0, dtype=np.int64))
 
     dealt = rows.repartition("k", "cell").sortWithinPartitions("k", "cell", *columns)  # keys with the same rows choose the same links
-    return checkpointed(dealt.mapInArrow(run, "u long, v long, distance long, bucket long")), split
+    return checkpointed(dealt.mapInArrow(run, "u long, v long, distance long, bucket long, met long")), split
 
 
 def open_rows(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int) -> DataFrame | None:
@@ -347,13 +348,38 @@ def open_rows(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int) -
     listed = found.where(F.col("bucket").isNotNull()).select("bucket", F.col("v").alias("label")).unionByName(split)
     members = listed.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
     members = checkpointed(members.select("bucket", "label", F.coalesce("root", "label").alias("root")))
-    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-    parts = lambda n: F.ceil(n / cell).cast("int")
-    facts = checkpointed(facts.select("bucket", "main", parts(F.col("n") - F.col("most")).alias("xs"), parts(F.col("n")).alias("ys")))
+    facts = checkpointed(_open(members, cell).drop("left", "n"))
     return None if facts.isEmpty() else members.join(facts, "bucket")
 
 
+def _open(members: DataFrame, cell: int) -> DataFrame:
+    """(bucket, main, left, n, xs, ys) of the buckets of members (bucket, root) that are not one component: the largest
+    one's root, the rows outside it, all rows, and the numbers of cells; and the sum of met, if members have it."""
+    names = [c for c in members.columns if c == "met"]
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names))
+    facts = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), *(F.sum(c).alias(c) for c in names))
+    parts = lambda n: F.ceil(n / cell).cast("int")
+    left = F.col("n") - F.col("most")
+    return facts.where("n > most").select("bucket", "main", left.alias("left"), "n", parts(left).alias("xs"), parts(F.col("n")).alias("ys"), *names)
+
+
+def open_families(found: DataFrame, candidates: DataFrame, roots: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, keyed): what is left to compare of keys that held back pairs and were not split.
+
+    Such a pair is connected by candidates (u, v), so it lies in one of their components, a family. A row has some 85
+    keys, and in a family of one template it meets the same others in many of them. So the rows of a family meet once,
+    whatever their keys, if that makes no more pairs than its keys do: rows are those of open_rows, with the family as
+    bucket. The labels of families that their keys hardly connect are keyed, and left to open_rows.
+    """
+    held = found.where(F.col("bucket").isNotNull()).groupBy(F.col("v").alias("label")).agg(F.sum("met").alias("met"))
+    families = components(candidates).select(F.col("node").alias("label"), F.col("root").alias("bucket"))
+    named = held.join(families, "label").join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
+    members = checkpointed(named.select("bucket", "label", F.coalesce("root", "label").alias("root"), "met"))
+    facts = _open(members, cell).withColumn("whole", F.col("left") * F.col("n") <= F.col("met"))
+    rows = checkpointed(members.drop("met").join(checkpointed(facts.drop("left", "n", "met")), "bucket"))
+    return rows.where("whole").drop("whole"), rows.where("not whole").select("label")
+
+
 def open_cells(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame | None:
     """open_rows dealt over their cells: (bucket, x, y, label, root, left), or None."""
     rows = open_rows(found, split, roots, cell)
@@ -385,20 +411,32 @@ def _finer(cells: DataFrame, cell: int) -> DataFrame:
     return rows.withColumns(finer).select(*cells.columns)
 
 
-def _least_key(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
-    """Whether bucket is the least key that the wide fingerprints a[i] and b[i] share."""
+def _shared(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every kind of key: whether the wide fingerprints a[i] and b[i] share one, and the least codeword in it."""
     decoding, within = golay()
     one, other = _segments(a), _segments(b)
-    out = np.ones(len(a), dtype=bool)
-    for i in range((bucket >> 32) + 1):
+    for i in range(len(one)):
         j = (i + 1) % len(one)
         mine, theirs = within[one[j]][:, :, None], within[other[j]][:, None, :]
         common = np.where((mine == theirs) & (mine >= 0), mine, 1 << 12).min(axis=(1, 2))
-        shared = (decoding[one[i]] == decoding[other[i]]) & (common < 1 << 12)
-        out &= shared & (common == bucket & 0xFFF) if i == bucket >> 32 else ~shared
+        yield (decoding[one[i]] == decoding[other[i]]) & (common < 1 << 12), common
+
+
+def _least_key(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether bucket is the least key that the wide fingerprints a[i] and b[i] share."""
+    out = np.ones(len(a), dtype=bool)
+    for i, (shared, common) in enumerate(_shared(a, b)):
+        if i == bucket >> 32:
+            return out & shared & (common == bucket & 0xFFF)
+        out &= ~shared
     return out
 
 
+def _any_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the wide fingerprints a[i] and b[i] share a key."""
+    return np.logical_or.reduce([shared for shared, _ in _shared(a, b)])
+
+
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """(bucket, rows) of whole cells; rows are sorted by cell."""
     now, held = None, []
@@ -456,16 +494,17 @@ def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
 
-def involved(cells: DataFrame, bits: int, similarity: float) -> DataFrame:
+def involved(cells: DataFrame, bits: int, similarity: float, families: bool) -> DataFrame:
     """The rows of cells, which hold wide fingerprints, sketches and sizes, that have a pair to be compared there: of
-    different roots, within `bits`, not proven less alike by their sketches, and with the cell's key as the least that both
-    have, so each pair is compared once. A pair whose least key held nothing back was compared before."""
+    different roots, within `bits`, not proven less alike by their sketches, and sharing a key. Where cells are those of a
+    key, it must be the least that both have, so each pair is compared once; a pair whose least key held nothing back was
+    compared before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_cell(batches):
             keep = np.zeros(rows.num_rows, dtype=bool)
             for fps, i, j in _near(rows, WIDE, bits, similarity):
-                first = _least_key(fps[i], fps[j], bucket)
+                first = _any_key(fps[i], fps[j]) if families else _least_key(fps[i], fps[j], bucket)
                 keep[i[first]] = keep[j[first]] = True
             yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -486,7 +525,10 @@ def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: floa
                 r = part[r]
             return r
 
-        for _, left, right in _near(rows, columns, bits, similarity):
+        for fps, left, right in _near(rows, columns, bits, similarity):
+            if len(columns) > 1:  # those of a family need share no key
+                shared = _any_key(fps[left], fps[right])
+                left, right = left[shared], right[shared]
             for i, j in zip(left.tolist(), right.tolist()):
                 p, q = find(int(root[i])), find(int(root[j]))
                 if p != q and (sets is None or alike(sets[i].values.to_numpy(), sets[j].values.to_numpy(), similarity)):
@@ -676,14 +718,18 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         ends = candidates.select(F.col("u").alias("label")).unionByName(candidates.select(F.col("v").alias("label"))).distinct()
         sets = shingle_sets(docs, text_col, checkpointed(named.join(ends, "label")), shingle)
         roots = checkpointed(confirmed(candidates, sets, similarity, sure))
-        rows = open_rows(found, split, roots, screen)
-        if rows is None:
-            return roots
-        # of a key that was split, rows without a candidate may be there too
-        sets = shingle_sets(docs, text_col, checkpointed(named.join(rows.select("label").distinct(), "label")), shingle)
-        cells = involved(_celled(rows.join(sets.select("label", *WIDE, "n", "sketch"), "label")), bits, similarity)
-        more = rest(_finer(cells, cell).join(sets.select("label", "hashes"), "label"), WIDE, bits, similarity)
-        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        once, keyed = open_families(found, candidates, roots, screen)
+        todo = [] if once.isEmpty() else [(once, True)]
+        if not (keyed.isEmpty() and split.isEmpty()):
+            by_key = open_rows(found.join(keyed.select(F.col("label").alias("v")), "v", "left_semi"), split, roots, screen)
+            todo += [] if by_key is None else [(by_key, False)]
+        more = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        for rows, families in todo:
+            # of a key that was split, rows without a candidate may be there too
+            sets = shingle_sets(docs, text_col, checkpointed(named.join(rows.select("label").distinct(), "label")), shingle)
+            cells = involved(_celled(rows.join(sets.select("label", *WIDE, "n", "sketch"), "label")), bits, similarity, families)
+            more = more.unionByName(rest(_finer(cells, cell).join(sets.select("label", "hashes"), "label"), WIDE, bits, similarity))
+        return components(more) if todo else roots
 
     return _grouped(wide_fingerprints(docs, id_col, text_col, shingle), WIDE, rooted, ("content", "root"))
 
