@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text processed at once inside a task, so that memory does not follow the Arrow batch size.
 CHUNK_BYTES = 1 << 20
 
+#: Checkpoints after which what earlier ones took to make, and those that no plan reads any more, leave the disk.
+RELEASE_EVERY = 8
+
 _U = np.uint64
+_made = count(1)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,10 +55,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the size that was estimated for its plan, and a join's estimate is the product of its sides':
     after some rounds that is a number of millions of digits. So the rows are taken up as a table of unknown size.
+
+    Shuffle and checkpoint files stay until the driver collects its garbage, which it may not do for many rounds; each has
+    a file or more for every partition. So it is asked to from time to time; files that a plan still reads are kept.
     """
     spark = df.sparkSession
     shared_folder(spark)
+    spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     done = df.checkpoint()._jdf
+    if next(_made) % RELEASE_EVERY == 0:
+        gc.collect()
+        spark._jvm.System.gc()
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
