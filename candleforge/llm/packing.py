@@ -37,7 +37,9 @@ PARTITION_PIECES, MOST_PIECES = 1 << 16, 1 << 20
 #: Bins with at most this share of their length free are not opened again.
 NEARLY_FULL = 0.01
 #: Distinct words after which a process keeps only what it has met since; it remembers up to twice as many.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Words of letters that are encoded as one text.
+JOINED = 128
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,9 +58,13 @@ class WordTokenizer:
     which one of these steps could matter are encoded whole: those with the control characters that only Python
     takes for white space, with combining marks (they may compose with a lowered letter), or with the opening of a
     special token.
+
+    Words of Latin-1 letters alone are one pre-token each, so many of them are encoded as one text: of a word's tokens
+    the last one, and no other, has the suffix that ends words.
     """
 
     _WHOLE = re.compile("[\x1c-\x1f\u0300-\u036f]|<\\|")
+    _HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xcc", b"\xcd", b"<|")  # without any of them in its UTF-8, a text does not match
     _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
@@ -68,10 +74,28 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}  # what was known when the cache was last full
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self._closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self._closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """_encode() of words that _letters() accepts; one by one if the tokens don't close as many words."""
+        joined = [" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
+        ends = (4 * (np.flatnonzero(self._closes[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    @staticmethod
+    def _letters(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < "\u0100")
+
     def _learn(self, words: set[str]) -> None:
         known, signs = self.known, self._SIGNS
         parts: dict[str, str] = {}
@@ -81,6 +105,9 @@ class WordTokenizer:
                 parts[w] = core
         wanted = (words - parts.keys()) | set(parts.values()) | {w[len(core) :] for w, core in parts.items()}
         new = [w for w in wanted if w not in known]
+        letters = [w for w in new if self._letters(w)]
+        known.update(zip(letters, self._encode_letters(letters)))
+        new = [w for w in new if w not in known]
         known.update(zip(new, self._encode(new)))
         known.update((w, known[core] + known[w[len(core) :]]) for w, core in parts.items())
 
@@ -88,8 +115,9 @@ class WordTokenizer:
         """Token ids of each text, without an end id."""
         if len(self.known) > CACHE_WORDS:
             self.known, self._before = {}, self.known
-        whole = [i for i, t in enumerate(texts) if self._WHOLE.search(t)]
-        split = [t.encode().lower().decode().split() for t in texts]
+        raw = [t.encode() for t in texts]
+        whole = [i for i, r in enumerate(raw) if any(h in r for h in self._HINTS) and self._WHOLE.search(texts[i])]
+        split = [r.lower().decode().split() for r in raw]
         for i in whole:
             split[i] = []
         unknown = set().union(*split).difference(self.known)

@@ -151,6 +151,18 @@ def test_full_cache_still_tokenizes(monkeypatch):
         assert t.ids([text])[0].tolist() == slow_ids(text)[:-1]
 
 
+def test_unknown_words_of_letters_share_a_text():
+    t = packing.WordTokenizer(packing.vocabulary_path())
+    r, letters = random.Random(5), [chr(c) for c in range(256) if chr(c).isalpha()]
+    words = ["".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(5000)] + letters
+    given, encode = [], t._encode
+    t._encode = lambda texts: given.extend(texts) or encode(texts)
+    assert t.ids([" ".join(words)])[0].tolist() == slow_ids(" ".join(words))[:-1]
+    assert not given  # none of them alone
+    t._closes[:] = False  # a vocabulary that does not tell where words end
+    assert t.ids(["quux corge"])[0].tolist() == slow_ids("quux corge")[:-1] and sorted(given) == ["corge", "quux"]
+
+
 def test_packing_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op7_certified_packing(spark, SF).collect()
