@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import count
 
@@ -20,6 +21,10 @@ CHUNK_BYTES = 1 << 20
 
 #: Checkpoints after which what earlier ones took to make, and those that no plan reads any more, leave the disk.
 RELEASE_EVERY = 8
+#: Partitions for each core, and at least, that in_few() leaves.
+FILES_PER_CORE, LEAST_FILES = 8, 32
+#: Rows with whole texts that the JVM and Python exchange at once.
+TEXT_ROWS = 1024
 
 _U = np.uint64
 _made = count(1)
@@ -69,6 +74,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
+def in_few(df: DataFrame) -> DataFrame:
+    """df, where tasks take several partitions if there are many: each file that is written costs its folder's store some
+    requests, on a local disk processes that the executor starts. Not for what numbers rows by the task's partition."""
+    return df.coalesce(max(LEAST_FILES, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def checkpointed_in_few(df: DataFrame) -> DataFrame:
+    return checkpointed(in_few(df))
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside exchanges at most TEXT_ROWS rows at once with Python, so that neither side holds the texts of the
+    usual 10000; the session's setting is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_ROWS:  # 0 or less: no limit
+        spark.conf.set(name, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same with a Parquet table, for wide rows: columns can be pruned, and the table outlives the session."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
@@ -103,10 +132,12 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of some rows, so that a task turns few texts at once into Python objects."""
+    """The batches in parts of some rows, so that a task turns few texts at once into Python objects. What they took goes
+    back to the system at the end, as the process lives on."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def binaries(column) -> list[bytes]:

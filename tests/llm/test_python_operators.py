@@ -9,18 +9,49 @@ from collections import defaultdict
 
 import hypothesis
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candleforge.llm import packing, quality, queries, substrings, topk
+from candleforge.llm import common, packing, quality, queries, substrings, topk
 from oracle import assert_same, duck
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+# --- portions and checkpoints
+
+
+def test_texts_are_exchanged_in_small_batches(spark, monkeypatch):
+    name, df = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(5000).coalesce(1)
+
+    def counted(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    sizes = lambda: [r.n for r in df.mapInArrow(counted, "n long").collect()]
+    before = spark.conf.get(name)
+    with common.text_batches(spark):
+        assert max(sizes()) <= common.TEXT_ROWS and sum(sizes()) == 5000
+    assert spark.conf.get(name) == before and max(sizes()) > common.TEXT_ROWS
+    seen, docs = [], spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for operator in (substrings, queries.simhash):
+        monkeypatch.setattr(operator, "checkpointed_in_few", lambda d: seen.append(int(spark.conf.get(name))) or common.checkpointed_in_few(d))
+    substrings.remove_repeats(docs, 3, 20)
+    queries.simhash.simhash_groups(docs)
+    assert seen.count(common.TEXT_ROWS) == 3  # stretches, windows, fingerprints
+
+
+def test_checkpoints_have_few_files(spark):
+    most = max(common.LEAST_FILES, common.FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    made = common.checkpointed_in_few(spark.range(3000).repartition(most + 200))
+    assert made.rdd.getNumPartitions() == most and sorted(r.id for r in made.collect()) == list(range(3000))
+    assert common.checkpointed_in_few(spark.range(9).repartition(3)).rdd.getNumPartitions() == 3
+
+
 # --- repeated passages
 
 
