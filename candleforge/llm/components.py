@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import checkpointed, forest
+from candleforge.llm.common import checkpointed_in_few, forest
 
 #: Links of a task that are contracted together.
 TOGETHER = 1 << 18
@@ -55,15 +55,15 @@ def components(links: DataFrame) -> DataFrame:
     may split the rows of such a node. Lost executors cost at most a part of a round.
     """
     edges = contracted(links.where(F.col("u") != F.col("v")))
-    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = checkpointed_in_few(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(edges):
         # large star: the greater neighbours of x link to the least node around x
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed_in_few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed_in_few(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: the lesser neighbours of x, and x, link to the least of them
-        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = checkpointed_in_few(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = checkpointed_in_few(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, mix, portions, written
+from candleforge.llm.common import binaries, checkpointed_in_few, mix, portions, text_batches, written
 from candleforge.llm.components import components
 
 SHINGLE = 4
@@ -307,12 +307,12 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
         raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
     rows = _key_rows(distinct, columns)
     hot = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    hot = checkpointed(hot.select("k", F.ceil(F.col("n") / (block / 2)).cast("int").alias("parts")))
+    hot = checkpointed_in_few(hot.select("k", F.ceil(F.col("n") / (block / 2)).cast("int").alias("parts")))
     n_hot = hot.count()
     split = distinct.sparkSession.createDataFrame([], "bucket long, label long")
     if n_hot:
         side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-        split = checkpointed(_labelled(rows.join(side, "k"), columns).select(F.col("k").alias("bucket"), "label"))
+        split = checkpointed_in_few(_labelled(rows.join(side, "k"), columns).select(F.col("k").alias("bucket"), "label"))
         mine = F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int")
         cells = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.array(mine, F.pmod(mine + 1, F.col("parts"))))
         rows = rows.join(side, "k", "left").select("k", *columns, F.explode(cells).alias("cell"))
@@ -336,7 +336,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, columns
         yield from out(held, np.zeros(0, dtype=np.int64))
 
     dealt = rows.repartition("k", "cell").sortWithinPartitions("k", "cell", *columns)  # keys with the same rows choose the same links
-    return checkpointed(dealt.mapInArrow(run, "u long, v long, distance long, bucket long, met long")), split
+    return checkpointed_in_few(dealt.mapInArrow(run, "u long, v long, distance long, bucket long, met long")), split
 
 
 def open_rows(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int) -> DataFrame | None:
@@ -347,8 +347,8 @@ def open_rows(found: DataFrame, split: DataFrame, roots: DataFrame, cell: int) -
     """
     listed = found.where(F.col("bucket").isNotNull()).select("bucket", F.col("v").alias("label")).unionByName(split)
     members = listed.join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
-    members = checkpointed(members.select("bucket", "label", F.coalesce("root", "label").alias("root")))
-    facts = checkpointed(_open(members, cell).drop("left", "n"))
+    members = checkpointed_in_few(members.select("bucket", "label", F.coalesce("root", "label").alias("root")))
+    facts = checkpointed_in_few(_open(members, cell).drop("left", "n"))
     return None if facts.isEmpty() else members.join(facts, "bucket")
 
 
@@ -374,9 +374,9 @@ def open_families(found: DataFrame, candidates: DataFrame, roots: DataFrame, cel
     held = found.where(F.col("bucket").isNotNull()).groupBy(F.col("v").alias("label")).agg(F.sum("met").alias("met"))
     families = components(candidates).select(F.col("node").alias("label"), F.col("root").alias("bucket"))
     named = held.join(families, "label").join(roots.select(F.col("node").alias("label"), "root"), "label", "left")
-    members = checkpointed(named.select("bucket", "label", F.coalesce("root", "label").alias("root"), "met"))
+    members = checkpointed_in_few(named.select("bucket", "label", F.coalesce("root", "label").alias("root"), "met"))
     facts = _open(members, cell).withColumn("whole", F.col("left") * F.col("n") <= F.col("met"))
-    rows = checkpointed(members.drop("met").join(checkpointed(facts.drop("left", "n", "met")), "bucket"))
+    rows = checkpointed_in_few(members.drop("met").join(checkpointed_in_few(facts.drop("left", "n", "met")), "bucket"))
     return rows.where("whole").drop("whole"), rows.where("not whole").select("label")
 
 
@@ -400,7 +400,7 @@ def _finer(cells: DataFrame, cell: int) -> DataFrame:
     """The same rows in cells of about `cell` left and `cell` other rows at most: whole shingle sets come with them next."""
     where = ["bucket", "x", "y"]
     parts = lambda side: F.greatest(F.ceil(F.sum(side.cast("int")) / cell), F.lit(1)).cast("int")
-    sizes = checkpointed(cells.groupBy(*where).agg(parts(F.col("left")).alias("xs"), parts(~F.col("left")).alias("ys")))
+    sizes = checkpointed_in_few(cells.groupBy(*where).agg(parts(F.col("left")).alias("xs"), parts(~F.col("left")).alias("ys")))
     rows = cells.join(sizes, where)
     own = F.xxhash64("bucket", "label")  # the label alone chose the cell
     mine = F.pmod(own, F.when(F.col("left"), F.col("xs")).otherwise(F.col("ys"))).cast("int")
@@ -508,7 +508,7 @@ def involved(cells: DataFrame, bits: int, similarity: float, families: bool) ->
                 keep[i[first]] = keep[j[first]] = True
             yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return checkpointed(_dealt(cells).mapInArrow(run, cells.schema))
+    return checkpointed_in_few(_dealt(cells).mapInArrow(run, cells.schema))
 
 
 def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: float | None = None) -> DataFrame:
@@ -540,7 +540,7 @@ def rest(cells: DataFrame, columns: tuple[str, ...], bits: int, similarity: floa
             pairs = list(compared(rows))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return checkpointed(_dealt(cells).mapInArrow(run, "u long, v long"))
+    return checkpointed_in_few(_dealt(cells).mapInArrow(run, "u long, v long"))
 
 
 def linked(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, cell: int = CELL) -> DataFrame:
@@ -550,7 +550,7 @@ def linked(distinct: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, cell:
     cells = open_cells(found.where("false"), split, roots, cell) if not split.isEmpty() else None  # what other keys hold back is connected
     if cells is None:
         return roots
-    roots = checkpointed(roots)
+    roots = checkpointed_in_few(roots)
     more = rest(cells.withColumn("fp", F.col("label")), ("fp",), bits)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
@@ -570,7 +570,8 @@ def shingle_sets(docs: DataFrame, text_col: str, classes: DataFrame, shingle: in
     few = classes.count() <= BROADCAST_KEYS
     named = docs.select(*_texts(docs, text_col)).join(F.broadcast(classes) if few else classes, "content")
     once = named.groupBy(*names).agg(F.first("t").alias("t"))
-    return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes array<long>, n int, sketch binary"), "shingles")
+    with text_batches(docs.sparkSession):
+        return written(once.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", hashes array<long>, n int, sketch binary"), "shingles")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -624,17 +625,17 @@ def short_links(sets: DataFrame, similarity: float, cell: int = CELL) -> DataFra
     (rounded down) + 1 of each, n being the set's size; those are its keys. A key with many rows is dealt over cells, so
     that any two of them meet in one.
     """
-    rows = checkpointed(sets.distinct().withColumn("n", (F.octet_length("short") / 8).cast("int")).withColumn("row", F.monotonically_increasing_id()))
+    rows = checkpointed_in_few(sets.distinct().withColumn("n", (F.octet_length("short") / 8).cast("int")).withColumn("row", F.monotonically_increasing_id()))
     place = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
     tokens = rows.select("row", "n", F.col("short"), place).select("row", "n", F.hex(F.substring("short", F.col("i") * 8 + 1, F.lit(8))).alias("token"))
-    often = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
+    often = checkpointed_in_few(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
     # a shingle that one set alone has comes first and is no key
     ranked = tokens.join(often, "token", "left").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "token"))).alias("all"))
     length = F.floor(F.col("n") * (1 - similarity) + 1e-9).cast("int") + 1
     keys = ranked.select("row", F.explode(F.slice("all", F.lit(1), length)).alias("key")).where("key.often > 1").select("row", F.col("key.token").alias("token"))
-    keys = checkpointed(keys)
+    keys = checkpointed_in_few(keys)
     parts = keys.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    parts = checkpointed(parts.select("token", F.ceil(F.col("n") / cell).cast("int").alias("parts")))
+    parts = checkpointed_in_few(parts.select("token", F.ceil(F.col("n") / cell).cast("int").alias("parts")))
     mine = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     dealt = keys.join(parts, "token").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("row", "token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
@@ -657,7 +658,7 @@ def short_links(sets: DataFrame, similarity: float, cell: int = CELL) -> DataFra
             yield out(held)
 
     cells = named.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return checkpointed(cells.mapInArrow(run, "u long, v long").where("u <> v").distinct())
+    return checkpointed_in_few(cells.mapInArrow(run, "u long, v long").where("u <> v").distinct())
 
 
 def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float, sure: DataFrame | None = None) -> DataFrame:
@@ -670,14 +671,14 @@ def confirmed(candidates: DataFrame, sets: DataFrame, similarity: float, sure: D
     """
     ends = [candidates.select(F.col(end).alias("node"), F.struct("distance", "u", "v").alias("edge")) for end in ("u", "v")]
     nearest = ends[0].unionByName(ends[1]).groupBy("node").agg(F.min("edge").alias("edge")).select("edge.u", "edge.v").distinct()
-    nearest = checkpointed(nearest)
+    nearest = checkpointed_in_few(nearest)
     first = _similar(nearest, sets, similarity)
-    first = checkpointed(first if sure is None else first.unionByName(sure))
-    roots = checkpointed(components(first))
+    first = checkpointed_in_few(first if sure is None else first.unionByName(sure))
+    roots = checkpointed_in_few(components(first))
     rest = candidates.select("u", "v").join(nearest, ["u", "v"], "left_anti")
     for end, root in (("u", "ru"), ("v", "rv")):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
-    others = checkpointed(_similar(checkpointed(rest.where("ru <> rv").select("u", "v")), sets, similarity))
+    others = checkpointed_in_few(_similar(checkpointed_in_few(rest.where("ru <> rv").select("u", "v")), sets, similarity))
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(others.select("u", "v")))
 
 
@@ -713,11 +714,11 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         bits = most_bits(similarity)
         found, split = links(classes, bits, block, WIDE)
         candidates = found.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("distance").alias("distance"))
-        candidates = checkpointed(candidates)
+        candidates = checkpointed_in_few(candidates)
         named = classes.select("label", "content", *WIDE)
         ends = candidates.select(F.col("u").alias("label")).unionByName(candidates.select(F.col("v").alias("label"))).distinct()
-        sets = shingle_sets(docs, text_col, checkpointed(named.join(ends, "label")), shingle)
-        roots = checkpointed(confirmed(candidates, sets, similarity, sure))
+        sets = shingle_sets(docs, text_col, checkpointed_in_few(named.join(ends, "label")), shingle)
+        roots = checkpointed_in_few(confirmed(candidates, sets, similarity, sure))
         once, keyed = open_families(found, candidates, roots, screen)
         todo = [] if once.isEmpty() else [(once, True)]
         if not (keyed.isEmpty() and split.isEmpty()):
@@ -726,7 +727,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
         more = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         for rows, families in todo:
             # of a key that was split, rows without a candidate may be there too
-            sets = shingle_sets(docs, text_col, checkpointed(named.join(rows.select("label").distinct(), "label")), shingle)
+            sets = shingle_sets(docs, text_col, checkpointed_in_few(named.join(rows.select("label").distinct(), "label")), shingle)
             cells = involved(_celled(rows.join(sets.select("label", *WIDE, "n", "sketch"), "label")), bits, similarity, families)
             more = more.unionByName(rest(_finer(cells, cell).join(sets.select("label", "hashes"), "label"), WIDE, bits, similarity))
         return components(more) if todo else roots
@@ -738,15 +739,16 @@ def _grouped(fingerprinted: DataFrame, columns: tuple[str, ...], rooted: Callabl
     """(doc_id, columns, component_id, more); rooted makes (node, root) of the classes (columns, least, content, label) and of
     the fingerprinted rows with their label, only short ones where those are marked."""
 
-    fps = checkpointed(fingerprinted)
+    with text_batches(fingerprinted.sparkSession):
+        fps = checkpointed_in_few(fingerprinted)
     content = "content" if "content" in fps.columns else F.lit(None).cast("long")
     classes = fps.groupBy(*columns).agg(F.min("id").alias("least"), F.min(content).alias("content"))
-    classes = checkpointed(_labelled(classes, columns))
+    classes = checkpointed_in_few(_labelled(classes, columns))
     short = fps.where("short is not null") if "short" in fps.columns else fps
     roots = rooted(classes, _labelled(short, columns)).select(F.col("node").alias("label"), "root")
     joined = classes.join(roots, "label", "left").select(*columns, "least", F.coalesce("root", "label").alias("root"))
-    least = checkpointed(joined.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpointed(joined.join(least, "root").select(*columns, "component_id", "root"))
+    least = checkpointed_in_few(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpointed_in_few(joined.join(least, "root").select(*columns, "component_id", "root"))
     return fps.join(named, list(columns)).select(F.col("id").alias("doc_id"), *columns, "component_id", *more)
 
 
