@@ -11,9 +11,11 @@ the gap of the partition that packed it, so what is not certified can be seen.
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +42,14 @@ NEARLY_FULL = 0.01
 CACHE_WORDS = 200_000
 #: Words of letters that are encoded as one text.
 JOINED = 128
+#: The normalizer and pre-tokenizer of VOCABULARY: a word of Latin-1 letters is only lowered and written byte by byte.
+STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,26 +60,38 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_characters() -> np.ndarray:
+    """The code point by which byte-level vocabularies write each byte; a space stays one, as it parts words here."""
+    table = np.arange(256, dtype="<u4")
+    unseen = np.r_[0:33, 127:161, 173]
+    table[unseen] = 256 + np.arange(len(unseen))
+    table[32] = 32
+    return table
+
+
 class WordTokenizer:
     """Ids of texts under a lower-casing tokenizer whose tokens never span white space, remembered per word.
 
-    Words are split where str.split() does, ASCII letters lowered first, and of an unknown word the closing ASCII
-    signs are encoded apart from what ends in a letter or digit, as the tokenizer splits there itself. Texts in
-    which one of these steps could matter are encoded whole: those with the control characters that only Python
-    takes for white space, with combining marks (they may compose with a lowered letter), or with the opening of a
-    special token.
+    Words are split where str.split() does, ASCII letters lowered first, and between a letter or digit (to U+FFFF) and the
+    ASCII sign that follows it, as the tokenizer splits there itself. Texts in which one of these steps could
+    matter are encoded whole: those with the control characters that only Python takes for white space, with combining
+    marks (they may compose with a lowered letter), or with the opening of a special token.
 
     Words of Latin-1 letters alone are one pre-token each, so many of them are encoded as one text: of a word's tokens
-    the last one, and no other, has the suffix that ends words.
+    the last one, and no other, has the suffix that ends words. If the tokenizer's steps before its model are STEPS, they
+    are lowered and written as byte characters here, and only the model is asked.
     """
 
     _WHOLE = re.compile("[\x1c-\x1f\u0300-\u036f]|<\\|")
     _HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xcc", b"\xcd", b"<|")  # without any of them in its UTF-8, a text does not match
     _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    _IS_SIGN = np.isin(np.arange(256), list(_SIGNS.encode()))
+    _IS_CORE = np.array([unicodedata.normalize("NFC", chr(c)).lower()[-1].isalnum() for c in range(1 << 16)])  # some end in a mark once normalised or lowered
+    _BYTES = _byte_characters()
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
@@ -78,6 +100,11 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab() if suffix else {}
         self._closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self._closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._bare = None
+        steps = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        if steps == STEPS:
+            self._bare = Tokenizer(self.tokenizer.model)
+            self._bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,7 +112,10 @@ class WordTokenizer:
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         """_encode() of words that _letters() accepts; one by one if the tokens don't close as many words."""
         joined = [" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
-        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
+        if self._bare:
+            joined = [self._BYTES[np.frombuffer(t.lower().encode(), dtype=np.uint8)].tobytes().decode("utf-32-le") for t in joined]
+        encoded = (self._bare or self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(e.ids, dtype="<u4") for e in encoded)])
         ends = (4 * (np.flatnonzero(self._closes[ids]) + 1)).tolist()
         if len(ends) != len(words):
             return self._encode(words)
@@ -97,19 +127,25 @@ class WordTokenizer:
         return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
     def _learn(self, words: set[str]) -> None:
-        known, signs = self.known, self._SIGNS
-        parts: dict[str, str] = {}
-        for w in words:
-            core = w.rstrip(signs)
-            if len(core) < len(w) and core and core[-1].isalnum():
-                parts[w] = core
-        wanted = (words - parts.keys()) | set(parts.values()) | {w[len(core) :] for w, core in parts.items()}
-        new = [w for w in wanted if w not in known]
-        letters = [w for w in new if self._letters(w)]
-        known.update(zip(letters, self._encode_letters(letters)))
-        new = [w for w in new if w not in known]
-        known.update(zip(new, self._encode(new)))
-        known.update((w, known[core] + known[w[len(core) :]]) for w, core in parts.items())
+        letters = [w for w in words if w.isalpha()]
+        joined = "".join(letters)
+        if len(joined.encode("latin-1", "ignore")) < len(joined):
+            letters = [w for w in letters if self._letters(w)]
+        self.known.update(zip(letters, self._encode_letters(letters)))
+        others = list(words.difference(letters))
+        self.known.update(zip(others, self._encode(others)))
+
+    def _split(self, raw: list[bytes]) -> list[list[str]]:
+        """The words of texts given as UTF-8."""
+        flat = np.frombuffer(b"\n".join(raw).lower(), dtype=np.uint8)
+        signs = np.flatnonzero(self._IS_SIGN[flat[1:]]) + 1
+        a, b, c = (flat[np.maximum(signs - k, 0)].astype(np.int32) for k in (3, 2, 1))
+        point = np.where(c < 0x80, c, np.where(b >= 0xC0, (b & 0x1F) << 6 | c & 0x3F, np.where(a >= 0xE0, (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F, 0)))
+        signs = signs[self._IS_CORE[point]]
+        parted = np.insert(flat, signs, 32).tobytes()
+        ends = np.cumsum([len(r) + 1 for r in raw]) - 1
+        ends = (ends + np.searchsorted(signs, ends)).tolist()
+        return [parted[a:b].decode().split() for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, without an end id."""
@@ -117,17 +153,22 @@ class WordTokenizer:
             self.known, self._before = {}, self.known
         raw = [t.encode() for t in texts]
         whole = [i for i, r in enumerate(raw) if any(h in r for h in self._HINTS) and self._WHOLE.search(texts[i])]
-        split = [r.lower().decode().split() for r in raw]
         for i in whole:
-            split[i] = []
-        unknown = set().union(*split).difference(self.known)
+            raw[i] = b""
+        split = self._split(raw)
+        found = [list(map(self.known.get, ws)) for ws in split]
+        gaps = {i: [k for k, x in enumerate(own) if x is None] for i, own in enumerate(found) if None in own}
+        unknown = {split[i][k] for i, places in gaps.items() for k in places}
         if unknown and self._before:
             met = unknown & self._before.keys()
             self.known.update((w, self._before[w]) for w in met)
             unknown -= met
         if unknown:
             self._learn(unknown)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype="<u4") for ws in split]
+        for i, places in gaps.items():
+            for k in places:
+                found[i][k] = self.known[split[i][k]]
+        out = [np.frombuffer(b"".join(own), dtype="<u4") for own in found]
         for i in whole:
             out[i] = np.frombuffer(self._encode([texts[i]])[0], dtype="<u4")
         return out

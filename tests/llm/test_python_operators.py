@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -194,6 +195,34 @@ def test_unknown_words_of_letters_share_a_text():
     assert t.ids(["quux corge"])[0].tolist() == slow_ids("quux corge")[:-1] and sorted(given) == ["corge", "quux"]
 
 
+def test_every_character_before_a_sign():
+    """Some end in a mark once the tokenizer has normalised or lowered them, which belongs to the sign that follows."""
+    t = packing.word_tokenizer(packing.vocabulary_path())
+    points = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x30000, 97))]
+    for at in range(0, len(points), 4096):
+        texts = [f"a{c}!x{c}'s {c}..{c}," for c in points[at : at + 4096]]
+        assert [x.tobytes() for x in t.ids(texts)] == t._encode(texts)
+
+
+def test_unknown_words_ask_only_the_model(tmp_path):
+    """What a word of letters costs: no normalizer, no pre-tokenizer, and none at all for a known word before a new sign."""
+    t = packing.WordTokenizer(packing.vocabulary_path())
+    r, letters = random.Random(6), [chr(c) for c in range(256) if chr(c).isalpha()]
+    text = " ".join("".join(r.choices(letters, k=r.randint(1, 9))) + r.choice(["", ",", ".", "..."]) for _ in range(3000))
+    whole, given = t.tokenizer, []
+    t._encode = lambda texts: given.extend(texts) or [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    t.tokenizer = None
+    assert t.ids([text])[0].tolist() == slow_ids(text)[:-1]
+    assert sorted(given) == [",", ".", "..."]
+    known = len(t.known)
+    assert t.ids([text.replace("...", ",")])[0].tolist() == slow_ids(text.replace("...", ","))[:-1] and len(t.known) == known
+    other = json.loads(whole.to_str())
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}]|[^\\s\\p{L}]+"
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    t = packing.WordTokenizer(str(tmp_path / "other.json"))  # one letter is one token there
+    assert t.ids(["Quux, corge"])[0].tolist() == t.tokenizer.encode("Quux, corge", add_special_tokens=False).ids
+
+
 def test_packing_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op7_certified_packing(spark, SF).collect()
