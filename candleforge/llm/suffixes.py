@@ -25,13 +25,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candleforge.llm.common import binaries, checkpointed, chunks, mix, portions
+from candleforge.llm.common import binaries, checkpointed_in_few, chunks, in_few, mix, portions, text_batches
 from candleforge.llm.substrings import CELLS, WINDOW, Windows, id_and_text, repeats, sketch
 
 #: Contexts of one seed that are compared in memory, and suffixes that are compared together.
 GROUP, TOGETHER = 1 << 15, 1 << 15
+#: Suffixes of a task among which equal contexts are collapsed before they travel.
+COLLAPSED = 10000
 
-_ROW = "seed long, right binary, left binary, id long, pos int"
+#: Retained suffixes; a row without a seed tells what repeats, from pos to hi.
+_SENT = "seed long, right binary, left binary, id long, pos int, hi int"
 _FOUND = "id long, lo int, hi int, h1 long, h2 long"
 
 
@@ -58,11 +61,14 @@ def _seed_items(w: Windows) -> np.ndarray:
 
 
 def suffix_rows(docs: DataFrame, bitmaps: Broadcast, window: int, cells: int, id_col: str, text_col: str) -> DataFrame:
-    """Retained suffixes with their contexts: big-endian word codes, right ones forwards, left ones backwards."""
+    """Retained suffixes with their contexts: big-endian word codes, right ones forwards, left ones backwards.
+
+    Equal contexts are collapsed as they are found, in the same process, so that only what is left goes through the JVM.
+    """
     half = window // 2
     side = window - half
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmaps.value
         for batch in portions(batches, 2048):
             ids, texts = batch.column("id").to_numpy(zero_copy_only=False), binaries(batch.column("t"))
@@ -86,7 +92,26 @@ def suffix_rows(docs: DataFrame, bitmaps: Broadcast, window: int, cells: int, id
                 pos = (at - first).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary()), pa.array(own), pa.array(pos)], names=["seed", "right", "left", "id", "pos"])
 
-    return id_and_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, _ROW)
+    def sent(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, other = _collapsed(pa.Table.from_batches(held).combine_chunks(), window, side)
+        for x in other:  # ride along as rows without a seed
+            yield pa.RecordBatch.from_pydict({"seed": pa.nulls(x.num_rows, pa.int64()), "right": pa.nulls(x.num_rows, pa.binary()), "left": pa.nulls(x.num_rows, pa.binary()), "id": x.column("id"), "pos": x.column("lo"), "hi": x.column("hi")})
+        for x in kept.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.int32())], names=[*x.schema.names, "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in portions(found(batches), COLLAPSED):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= COLLAPSED:
+                yield from sent(held)
+                held, n = [], 0
+        if held:
+            yield from sent(held)
+
+    return id_and_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, _SENT)
 
 
 def _matrix(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,16 +218,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, gr
     """
     spark = docs.sparkSession
     side = window - window // 2
-    bitmaps = spark.sparkContext.broadcast(sketch(docs, window, cells, id_col, text_col, _seed_items))
-    rows = suffix_rows(docs, bitmaps, window, cells, id_col, text_col)
-
-    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, other = _collapsed(pa.Table.from_batches([batch]), window, side)
-            for x in other:  # ride along as rows without a seed
-                yield pa.RecordBatch.from_pydict({"seed": pa.nulls(x.num_rows, pa.int64()), "right": pa.array([None] * x.num_rows, pa.binary()), "left": pa.array([None] * x.num_rows, pa.binary()), "id": x.column("id"), "pos": x.column("lo"), "hi": x.column("hi")})
-            for x in kept.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.int32())], names=[*x.schema.names, "hi"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -253,11 +268,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, gr
                     held, n = [rest], rest.num_rows
         if n:
             yield from flush(pa.concat_tables(held))
-
-    sent = rows.mapInArrow(collapse, _ROW + ", hi int")
-    # rows without a seed have their place spread by id
-    dealt = sent.repartition(F.coalesce("seed", F.xxhash64("id", "pos"))).sortWithinPartitions("seed", "right")
-    found = checkpointed(dealt.mapInArrow(compare, _FOUND))
+        held = []
+        pa.default_memory_pool().release_unused()
+
+    with text_batches(spark):
+        bitmaps = spark.sparkContext.broadcast(sketch(docs, window, cells, id_col, text_col, _seed_items))
+        rows = suffix_rows(docs, bitmaps, window, cells, id_col, text_col)
+        # rows without a seed have their place spread by id
+        dealt = rows.repartition(F.coalesce("seed", F.xxhash64("id", "pos"))).sortWithinPartitions("seed", "right")
+        found = checkpointed_in_few(dealt.mapInArrow(compare, _FOUND))
+    bitmaps.unpersist()
     windows = found.where(F.col("h1").isNotNull())
     # of the windows grouped by hash, all but the first place repeat
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "lo")).alias("first"))
@@ -267,4 +287,4 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, gr
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("new", F.when(before >= F.col("lo"), 0).otherwise(1)).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = opened.groupBy("id", "span").agg(F.min("lo").alias("start"), F.max("hi").alias("end"))
-    return merged.select(F.col("id").alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
+    return in_few(merged.select(F.col("id").alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_words")))

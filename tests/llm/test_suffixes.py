@@ -1,11 +1,12 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candleforge.llm import queries, suffixes
+from candleforge.llm import common, queries, suffixes
 from candleforge.llm.substrings import Windows
 from test_python_operators import passages
 
@@ -68,3 +69,43 @@ def test_every_window_holds_a_minimiser_at_the_same_place():
     other = set((at[at >= 502] - 502 + 37).tolist())
     assert {p for p in one if 37 + 25 <= p <= 300 - 50} <= other
     assert len(one) < 500 / 4
+
+
+@pytest.mark.parametrize("collapsed", [1, 7, 10000])
+def test_collapsing_in_any_portions_equals_brute_force(spark, collapsed, monkeypatch):
+    monkeypatch.setattr(suffixes, "COLLAPSED", collapsed)
+    r = random.Random(4)
+    long = " ".join(f"v{r.randrange(40)}" for _ in range(600))
+    rows = [*passages(60, 3), (900, long), (901, long), (902, f"{long} {long} {long}"), (901, long), (903, "x " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(x) for x in suffixes.repeated_spans(df, 50, 22).collect()) == slow_spans(rows)
+
+
+def test_little_is_held_at_once(spark, monkeypatch):
+    """Texts come 1024 at once, one Python process finds and collapses suffixes, and few files are written."""
+    batch, seen, found = "spark.sql.execution.arrow.maxRecordsPerBatch", [], []
+    before, sketch, suffix_rows = spark.conf.get(batch), suffixes.sketch, suffixes.suffix_rows
+    monkeypatch.setattr(suffixes, "sketch", lambda *a: seen.append(int(spark.conf.get(batch))) or sketch(*a))
+    monkeypatch.setattr(suffixes, "suffix_rows", lambda *a: seen.append(int(spark.conf.get(batch))) or found.append(suffix_rows(*a)) or found[0])
+    most = max(common.LEAST_FILES, common.FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1)
+    settings = {"spark.sql.shuffle.partitions": str(most + 9), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in settings}
+    old = set(folder.glob("rdd-*"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spans = suffixes.repeated_spans(df, 50, 22)
+        written = [len(list(p.glob("part-*"))) for p in folder.glob("rdd-*") if p not in old]
+        assert written and max(written) <= most and spans.rdd.getNumPartitions() <= most
+        assert sorted(tuple(x) for x in spans.collect()) == [(i, 0, 300, 300) for i in range(1, 40)]
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert seen == [common.TEXT_ROWS] * 2 and spark.conf.get(batch) == before
+    assert found[0]._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    seeds = [x.seed for x in found[0].collect()]
+    once = [s for s in seeds if s is not None]
+    assert len(once) == len(set(once)) and len(seeds) == 40 * len(once)  # 39 of 40 equal contexts travel as what they cover
